@@ -8,6 +8,8 @@ and rankings break ties by the smallest value / name.
 
 from __future__ import annotations
 
+import re
+
 # Venue view of FIXTURES.md §2, with 'city' blanked for ids divisible by 23.
 VENUES_CTE = """
 v_lines AS (
@@ -32,14 +34,14 @@ v AS (
            CAST(CASE substr(o.o_orderpriority, 1, 1)
                 WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '5' THEN 1 END AS INTEGER)
                AS price_range,
-           5.0 - 0.5 * vl.discount_pct / vl.n_lines AS rating,
+           5.0 - 0.5 * CAST(vl.discount_pct AS DOUBLE) / vl.n_lines AS rating,
            CAST(coalesce(vl.qty, 0) AS BIGINT) AS votes,
            CASE o.o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' END AS has_table_booking,
            CASE WHEN vl.any_returned = 1 THEN 'Yes' ELSE 'No' END AS has_online_delivery,
            CASE WHEN o.o_orderkey % 17 <> 0
-                THEN c.c_nationkey * 6 - 75 + (o.o_custkey % 64) / 64.0 END AS latitude,
+                THEN c.c_nationkey * 6 - 75 + CAST(o.o_custkey % 64 AS DOUBLE) / 64 END AS latitude,
            CASE WHEN o.o_orderkey % 19 <> 0
-                THEN c.c_nationkey * 14 - 175 + (o.o_orderkey % 64) / 64.0 END AS longitude
+                THEN c.c_nationkey * 14 - 175 + CAST(o.o_orderkey % 64 AS DOUBLE) / 64 END AS longitude
     FROM orders o
     JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -65,7 +67,14 @@ def with_venues(body: str) -> str:
     more CTEs followed by a SELECT."""
     body = body.strip()
     sep = "\n" if body.upper().startswith("SELECT") else ",\n"
-    return "WITH " + VENUES_CTE.strip() + sep + body
+    return inline_ctes("WITH " + VENUES_CTE.strip() + sep + body)
+
+
+def inline_ctes(sql: str) -> str:
+    """Mark every CTE (a line ``name AS (``) NOT MATERIALIZED: DuckDB 2.0
+    fails with an internal error on some materialised CTEs of
+    dictionary-encoded strings."""
+    return re.sub(r"^(\s*(?:WITH\s+)?\w+) AS \(", r"\1 AS NOT MATERIALIZED (", sql, flags=re.M)
 
 
 ORACLES: dict[str, str] = {}
@@ -81,3 +90,268 @@ SELECT city,
 FROM loc WHERE city <> 'Unknown'
 GROUP BY city
 """)
+
+CITY_TABLE = """
+ct AS (
+    SELECT city, count(*) AS n, avg(rating) AS r, avg(avg_cost) AS c
+    FROM loc WHERE city <> 'Unknown' GROUP BY city
+),
+tc AS (
+    SELECT city, cuisines,
+           row_number() OVER (PARTITION BY city ORDER BY count(*) DESC, cuisines) AS rn
+    FROM loc WHERE city <> 'Unknown' AND cuisines IS NOT NULL
+    GROUP BY city, cuisines
+),
+cities AS (
+    SELECT ct.city, ct.n AS "count", round(ct.r, 6) AS avg_rating, round(ct.c, 6) AS avg_cost,
+           coalesce(trim(split_part(tc.cuisines, ',', 1)), 'Unknown') AS top_cuisine
+    FROM ct LEFT JOIN tc ON tc.city = ct.city AND tc.rn = 1
+)
+"""
+
+ORACLES["city_overview"] = with_venues(CITY_TABLE + """
+SELECT * FROM cities ORDER BY "count" DESC, city LIMIT 15
+""")
+
+ORACLES["cities_by_cost"] = with_venues(CITY_TABLE + """
+SELECT * FROM cities ORDER BY avg_cost DESC, city
+""")
+
+ORACLES["insights"] = with_venues("""
+cs AS (
+    SELECT city, count(*) AS n, avg(rating) AS r, avg(avg_cost) AS c
+    FROM loc WHERE city <> 'Unknown' GROUP BY city
+),
+k AS (SELECT count(*) AS n_known FROM cs)
+SELECT
+    (SELECT CAST(count(*) AS BIGINT) FROM loc) AS total_restaurants,
+    CAST(CASE WHEN k.n_known > 0 THEN (SELECT count(DISTINCT city) FROM loc) ELSE 0 END AS BIGINT)
+        AS total_cities,
+    CAST(CASE WHEN k.n_known > 0 THEN (SELECT count(DISTINCT locality) FROM loc) ELSE 0 END
+        AS BIGINT) AS total_localities,
+    coalesce((SELECT city FROM cs ORDER BY r DESC, city LIMIT 1), 'N/A') AS highest_rated_city,
+    coalesce((SELECT city FROM cs ORDER BY n DESC, city LIMIT 1), 'N/A')
+        AS highest_restaurant_density_city,
+    CASE WHEN k.n_known > 0 THEN round((SELECT avg(rating) FROM loc), 6) ELSE 0.0 END
+        AS avg_rating_overall,
+    coalesce((SELECT city FROM cs ORDER BY c DESC, city LIMIT 1), 'N/A') AS most_expensive_city
+FROM k
+""")
+
+ORACLES["locality_stats"] = with_venues("""
+cs AS (SELECT city, count(*) AS n FROM loc WHERE city <> 'Unknown' GROUP BY city),
+top AS (SELECT city FROM cs ORDER BY n DESC, city LIMIT 1),
+r AS (
+    SELECT top.city AS requested_city, loc.locality, loc.city, loc.price_range, loc.rating
+    FROM loc JOIN top ON lower(loc.city) = lower(top.city)
+),
+agg AS (
+    SELECT requested_city, locality, count(*) AS cnt, avg(rating) AS avg_rating,
+           row_number() OVER (PARTITION BY requested_city ORDER BY count(*) DESC, locality) AS rk
+    FROM r GROUP BY requested_city, locality
+),
+cm AS (
+    SELECT requested_city, locality, city,
+           row_number() OVER (PARTITION BY requested_city, locality
+                              ORDER BY count(*) DESC, city) AS rn
+    FROM r GROUP BY requested_city, locality, city
+),
+pm AS (
+    SELECT requested_city, locality, price_range,
+           row_number() OVER (PARTITION BY requested_city, locality
+                              ORDER BY count(*) DESC, price_range) AS rn
+    FROM r WHERE price_range IS NOT NULL
+    GROUP BY requested_city, locality, price_range
+)
+SELECT a.requested_city, a.locality, cm.city, a.cnt AS "count",
+       round(a.avg_rating, 6) AS avg_rating,
+       CAST(coalesce(pm.price_range, 2) AS INTEGER) AS price_range_mode
+FROM agg a
+JOIN cm ON cm.requested_city = a.requested_city AND cm.locality = a.locality AND cm.rn = 1
+LEFT JOIN pm ON pm.requested_city = a.requested_city AND pm.locality = a.locality AND pm.rn = 1
+WHERE a.rk <= 15
+""")
+
+ORACLES["argmax_city"] = with_venues("""
+ct AS (
+    SELECT city, count(*) AS n, avg(rating) AS r, avg(avg_cost) AS c
+    FROM loc WHERE city <> 'Unknown' GROUP BY city
+)
+SELECT * FROM (SELECT 'highest_rated' AS metric, city, round(r, 6) AS value
+               FROM ct ORDER BY r DESC, city LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'most_venues', city, CAST(n AS DOUBLE) FROM ct ORDER BY n DESC, city LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'most_expensive', city, round(c, 6) FROM ct ORDER BY c DESC, city LIMIT 1)
+""")
+
+ORACLES["grid_clusters"] = with_venues("""
+SELECT CAST(floor(latitude / 1.0) AS BIGINT) AS cell_lat,
+       CAST(floor(longitude / 1.0) AS BIGINT) AS cell_lng,
+       count(*) AS "count",
+       round(avg(rating), 6) AS avg_rating,
+       round(avg(latitude), 6) AS center_lat,
+       round(avg(longitude), 6) AS center_lng
+FROM loc WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+GROUP BY 1, 2
+""")
+
+ORACLES["city_share"] = with_venues("""
+bc AS (SELECT city, count(*) AS n FROM loc GROUP BY city)
+SELECT city, n AS "count",
+       round(CAST(n AS DOUBLE) * 100 / (SELECT sum(n) FROM bc), 6) AS share_pct,
+       round(CAST(n AS DOUBLE) * 100 / (SELECT max(n) FROM bc WHERE city <> 'Unknown'), 6)
+           AS pct_of_largest
+FROM bc WHERE city <> 'Unknown'
+""")
+
+ORACLES["city_rank"] = with_venues("""
+ct AS (SELECT city, count(*) AS n FROM loc WHERE city <> 'Unknown' GROUP BY city)
+SELECT city, n AS "count", CAST(row_number() OVER (ORDER BY n DESC, city) AS INTEGER) AS rank
+FROM ct ORDER BY n DESC, city LIMIT 3
+""")
+
+MAP_COLUMNS = "venue_id, latitude AS lat, longitude AS lng, venue_name AS name, city, rating"
+
+ORACLES["map_points_500"] = with_venues(f"""
+SELECT {MAP_COLUMNS} FROM loc
+WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+ORDER BY venue_id LIMIT 500
+""")
+
+ORACLES["location_distribution_500"] = with_venues(f"""
+SELECT {MAP_COLUMNS} FROM (SELECT * FROM loc ORDER BY venue_id LIMIT 500)
+WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+""")
+
+MAP_DATA = f"""
+md AS (
+    SELECT {MAP_COLUMNS},
+           trim(split_part(coalesce(cuisines, 'Unknown'), ',', 1)) AS cuisine,
+           avg_cost AS cost
+    FROM loc WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+)
+"""
+
+ORACLES["map_data_full"] = with_venues(MAP_DATA + "SELECT * FROM md")
+
+ORACLES["search_venues"] = with_venues(MAP_DATA + """
+SELECT * FROM md
+WHERE (contains(lower(name), 'nation_1') OR contains(lower(city), 'nation_1'))
+  AND rating >= 3.5
+""")
+
+ORACLES["class_distribution"] = with_venues("""
+mc AS (SELECT trim(split_part(coalesce(cuisines, 'Unknown'), ',', 1)) AS main_cuisine FROM v)
+SELECT main_cuisine, count(*) AS "count",
+       round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM v), 6) AS share
+FROM mc GROUP BY main_cuisine
+""")
+
+ORACLES["numeric_ranges"] = with_venues("""
+SELECT 'votes' AS feature, CAST(min(votes) AS BIGINT) AS min_value,
+       CAST(max(votes) AS BIGINT) AS max_value, CAST(trunc(avg(votes)) AS BIGINT) AS avg_value
+FROM v
+UNION ALL
+SELECT 'avg_cost', CAST(min(avg_cost) AS BIGINT), CAST(max(avg_cost) AS BIGINT),
+       CAST(trunc(avg(avg_cost)) AS BIGINT)
+FROM v
+""")
+
+ORACLES["mode_price_by_city"] = with_venues("""
+m AS (
+    SELECT coalesce(city, 'Unknown') AS city, price_range,
+           row_number() OVER (PARTITION BY coalesce(city, 'Unknown')
+                              ORDER BY count(*) DESC, price_range) AS rn
+    FROM v WHERE price_range IS NOT NULL
+    GROUP BY 1, 2
+)
+SELECT city, price_range AS price_range_mode FROM m WHERE rn = 1
+""")
+
+ORACLES["distinct_counts"] = with_venues("""
+SELECT count(*) AS n_venues,
+       count(DISTINCT coalesce(city, 'Unknown')) AS n_cities,
+       count(DISTINCT locality) AS n_localities,
+       count(DISTINCT rest_type) AS n_rest_types,
+       (SELECT count(DISTINCT trim(item)) FROM
+           (SELECT unnest(string_split(coalesce(cuisines, 'Unknown'), ',')) AS item FROM v))
+           AS n_cuisines
+FROM v
+""")
+
+ORACLES["distinct_cities"] = with_venues("""
+SELECT DISTINCT city FROM v WHERE city IS NOT NULL
+""")
+
+ORACLES["distinct_cuisines"] = with_venues("""
+SELECT DISTINCT trim(item) AS item
+FROM (SELECT unnest(string_split(cuisines, ',')) AS item FROM v WHERE cuisines IS NOT NULL)
+""")
+
+ORACLES["sample_row"] = with_venues("""
+SELECT CAST(coalesce(votes, 100) AS BIGINT) AS votes,
+       CASE WHEN lower(has_online_delivery) = 'yes' THEN 1 ELSE 0 END AS online_order,
+       CASE WHEN lower(has_table_booking) = 'yes' THEN 1 ELSE 0 END AS book_table,
+       coalesce(city, 'Unknown') AS location,
+       coalesce(rest_type, 'Unknown') AS rest_type,
+       coalesce(cuisines, 'Unknown') AS cuisines,
+       CAST(coalesce(trunc(avg_cost), 500) AS BIGINT) AS cost
+FROM v ORDER BY md5('42' || CAST(venue_id AS VARCHAR)) LIMIT 1
+""")
+
+ORACLES["filter_venues"] = with_venues("""
+rec AS (
+    SELECT venue_id, venue_name,
+           coalesce(city, 'Unknown') AS city,
+           coalesce(cuisines, 'Unknown') AS cuisines,
+           coalesce(price_range, 0) AS price_range,
+           coalesce(has_table_booking, 'No') AS has_table_booking,
+           coalesce(has_online_delivery, 'No') AS has_online_delivery
+    FROM v
+)
+SELECT * FROM rec
+WHERE lower(city) = 'nation_3'
+  AND regexp_matches(cuisines, 'brand#1$|brand#2', 'i')
+  AND lower(has_table_booking) = 'yes'
+""")
+
+ORACLES["clean_venues"] = with_venues("""
+SELECT venue_id,
+       coalesce(city, 'Unknown') AS city,
+       coalesce(locality, 'Unknown') AS locality,
+       coalesce(cuisines, 'Unknown') AS cuisines,
+       trim(split_part(coalesce(cuisines, 'Unknown'), ',', 1)) AS main_cuisine,
+       TRY_CAST(rating AS DOUBLE) AS rating,
+       coalesce(TRY_CAST(avg_cost AS DOUBLE), 0.0) AS avg_cost,
+       CAST(coalesce(TRY_CAST(price_range AS DOUBLE), 0) AS INTEGER) AS price_range,
+       CAST(coalesce(TRY_CAST(votes AS DOUBLE), 0) AS BIGINT) AS votes,
+       CASE WHEN lower(has_table_booking) = 'yes' THEN 1 ELSE 0 END AS has_table_booking,
+       CASE WHEN lower(has_online_delivery) = 'yes' THEN 1 ELSE 0 END AS has_online_delivery
+FROM v
+""")
+
+ORACLES["combined_text"] = with_venues("""
+SELECT venue_id,
+       concat_ws(' ', coalesce(cuisines, 'Unknown'), coalesce(city, 'Unknown'),
+                 'price_' || CAST(coalesce(price_range, 0) AS VARCHAR),
+                 'table_' || lower(coalesce(has_table_booking, 'No')),
+                 'delivery_' || lower(coalesce(has_online_delivery, 'No'))) AS combined_text
+FROM v
+""")
+
+ORACLES["label_bands"] = with_venues("""
+lc AS (SELECT locality, count(*) AS locality_count FROM loc GROUP BY locality)
+SELECT venue_id, rating, price_range, lc.locality_count, round(rating * 20, 6) AS score,
+       CASE WHEN rating >= 4.5 THEN 'Excellent' WHEN rating >= 4.0 THEN 'Good'
+            WHEN rating >= 3.5 THEN 'Average' ELSE 'Below Average' END AS rating_band,
+       CASE price_range WHEN 1 THEN 'Budget (₹)' WHEN 2 THEN 'Moderate (₹₹)'
+            WHEN 3 THEN 'Expensive (₹₹₹)' WHEN 4 THEN 'Very Expensive (₹₹₹₹)'
+            ELSE 'Unknown' END AS price_label,
+       repeat('₹', CAST(coalesce(price_range, 0) AS BIGINT)) AS price_symbols,
+       CASE WHEN lc.locality_count > 50 THEN 'High' WHEN lc.locality_count > 20 THEN 'Medium'
+            ELSE 'Low' END AS density_band,
+       CASE WHEN rating * 20 >= 80 THEN 'green' WHEN rating * 20 >= 60 THEN 'blue'
+            WHEN rating * 20 >= 40 THEN 'amber' ELSE 'red' END AS score_band
+FROM loc JOIN lc USING (locality)
+""")

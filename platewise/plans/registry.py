@@ -46,3 +46,146 @@ def register(name: str, rows_only: bool = False):
 @register("city_stats")
 def _city_stats(spark, sf_dir):
     return location.city_stats(venues(spark, sf_dir))
+
+
+# ---- location (E1-E4, E9, E10, F1, F2, G1-G4, C10) -------------------------
+from platewise.operators import cleaning, filters, profile  # noqa: E402
+
+SEARCH_TERM = "nation_1"
+SEARCH_MIN_RATING = 3.5
+
+
+@register("city_overview")
+def _city_overview(spark, sf_dir):
+    return location.city_overview(venues(spark, sf_dir), 15)
+
+
+@register("insights")
+def _insights(spark, sf_dir):
+    return location.insights(venues(spark, sf_dir))
+
+
+@register("locality_stats")
+def _locality_stats(spark, sf_dir):
+    return location.top_city_localities(venues(spark, sf_dir), 15)
+
+
+@register("argmax_city")
+def _argmax_city(spark, sf_dir):
+    return location.city_rankings(venues(spark, sf_dir))
+
+
+@register("grid_clusters")
+def _grid_clusters(spark, sf_dir):
+    return location.grid_clusters(venues(spark, sf_dir), 1.0)
+
+
+@register("city_share")
+def _city_share(spark, sf_dir):
+    return location.city_share(venues(spark, sf_dir))
+
+
+@register("city_rank")
+def _city_rank(spark, sf_dir):
+    return location.city_rank(venues(spark, sf_dir), 3)
+
+
+@register("map_points_500")
+def _map_points(spark, sf_dir):
+    return location.map_points(venues(spark, sf_dir), 500)
+
+
+@register("location_distribution_500")
+def _location_distribution(spark, sf_dir):
+    return location.location_distribution(venues(spark, sf_dir), 500)
+
+
+@register("map_data_full")
+def _map_data(spark, sf_dir):
+    return location.map_data(venues(spark, sf_dir))
+
+
+@register("cities_by_cost")
+def _cities_by_cost(spark, sf_dir):
+    return location.sort_cities(location.city_overview(venues(spark, sf_dir), None), "avg_cost")
+
+
+@register("search_venues")
+def _search_venues(spark, sf_dir):
+    rows = location.map_data(venues(spark, sf_dir))
+    return location.search(rows, SEARCH_TERM, ["name", "city"], SEARCH_MIN_RATING, "rating")
+
+
+# ---- profiles (E5-E8, E11, E12, G5) ----------------------------------------
+
+
+@register("class_distribution")
+def _class_distribution(spark, sf_dir):
+    return profile.class_distribution(venues(spark, sf_dir))
+
+
+@register("numeric_ranges")
+def _numeric_ranges(spark, sf_dir):
+    return profile.numeric_ranges(venues(spark, sf_dir), ["votes", "avg_cost"])
+
+
+@register("mode_price_by_city")
+def _mode_price_by_city(spark, sf_dir):
+    return profile.mode_price_by_city(venues(spark, sf_dir))
+
+
+@register("distinct_counts")
+def _distinct_counts(spark, sf_dir):
+    return profile.distinct_counts(venues(spark, sf_dir))
+
+
+@register("distinct_cities")
+def _distinct_cities(spark, sf_dir):
+    return profile.distinct_values(venues(spark, sf_dir), "city")
+
+
+@register("distinct_cuisines")
+def _distinct_cuisines(spark, sf_dir):
+    return profile.distinct_items(venues(spark, sf_dir), "cuisines")
+
+
+@register("sample_row")
+def _sample_row(spark, sf_dir):
+    return profile.sample_row(venues(spark, sf_dir), 42)
+
+
+# ---- cleaning, filters, bands (B1-B5, C1-C6, I1) ----------------------------
+
+FILTER_REQUEST = dict(city="nation_3", cuisine="brand#1$|brand#2", table_booking=True)
+
+
+@register("filter_venues")
+def _filter_venues(spark, sf_dir):
+    rows = filters.filter_venues(venues(spark, sf_dir), **FILTER_REQUEST)
+    return rows.select(
+        "venue_id", "venue_name", "city", "cuisines", "price_range",
+        "has_table_booking", "has_online_delivery",
+    )
+
+
+@register("clean_venues")
+def _clean_venues(spark, sf_dir):
+    return cleaning.clean_venues(venues(spark, sf_dir))
+
+
+@register("combined_text")
+def _combined_text(spark, sf_dir):
+    return cleaning.combined_text(venues(spark, sf_dir))
+
+
+@register("label_bands")
+def _label_bands(spark, sf_dir):
+    from platewise.operators.common import location_rules
+
+    loc = location_rules(venues(spark, sf_dir))
+    per_locality = loc.groupBy("locality").agg(F.count(F.lit(1)).alias("locality_count"))
+    rows = loc.join(per_locality, "locality").select(
+        "venue_id", "rating", "price_range", "locality_count",
+        (F.col("rating") * 20).alias("score"),
+    )
+    return cleaning.label_bands(rows, "rating", "price_range", "locality_count", "score")
