@@ -11,7 +11,10 @@ from __future__ import annotations
 import re
 
 # Venue view of FIXTURES.md §2, with 'city' blanked for ids divisible by 23.
+# ``nat`` is scanned once (materialised): DuckDB 2.0 fails with an internal
+# error when the dictionary-encoded ``n_name`` is scanned twice in one query.
 VENUES_CTE = """
+nat AS MATERIALIZED (SELECT n_nationkey, n_name FROM nation),
 v_lines AS (
     SELECT l.l_orderkey,
            count(*) AS n_lines,
@@ -44,7 +47,7 @@ v AS (
                 THEN c.c_nationkey * 14 - 175 + CAST(o.o_orderkey % 64 AS DOUBLE) / 64 END AS longitude
     FROM orders o
     JOIN customer c ON o.o_custkey = c.c_custkey
-    JOIN nation n ON c.c_nationkey = n.n_nationkey
+    JOIN nat n ON c.c_nationkey = n.n_nationkey
     LEFT JOIN v_lines vl ON vl.l_orderkey = o.o_orderkey
 ),
 loc AS (
@@ -355,3 +358,232 @@ SELECT venue_id, rating, price_range, lc.locality_count, round(rating * 20, 6) A
             WHEN rating * 20 >= 40 THEN 'amber' ELSE 'red' END AS score_band
 FROM loc JOIN lc USING (locality)
 """)
+
+# ---- text similarity and recommendation ------------------------------------
+
+
+def _stop_list() -> str:
+    from platewise.operators.similarity import default_stop_words
+
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in default_stop_words()) + "]"
+
+
+TOKEN_RE = r"'[\p{L}\p{N}_]{2,}'"
+STOP = _stop_list()
+
+ORACLES["token_counts_documents"] = inline_ctes(f"""
+SELECT doc_id,
+       CAST(len(list_filter(regexp_extract_all(lower(text), {TOKEN_RE}),
+                            lambda x: NOT list_contains({STOP}, x))) AS INTEGER) AS n_tokens,
+       CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), {TOKEN_RE}),
+                            lambda x: NOT list_contains({STOP}, x)))) AS INTEGER) AS n_distinct
+FROM documents
+""")
+
+
+def tfidf_ctes(corpus: str, id_col: str, text: str, prefix: str) -> str:
+    """CTEs <prefix>idf(token, idf) and <prefix>w(id, token, w) of unit rows
+    for the texts of ``corpus``."""
+    return f"""
+{prefix}tok AS (
+    SELECT {id_col}, unnest(regexp_extract_all(lower({text}), {TOKEN_RE})) AS token
+    FROM {corpus}
+),
+{prefix}tf AS (
+    SELECT {id_col}, token, count(*) AS tf FROM {prefix}tok
+    WHERE NOT list_contains({STOP}, token) GROUP BY {id_col}, token
+),
+{prefix}idf AS (
+    SELECT token, ln((1 + (SELECT count(*) FROM {corpus})) / (1 + count(*))) + 1 AS idf
+    FROM {prefix}tf GROUP BY token
+),
+{prefix}w0 AS (
+    SELECT {id_col}, token, tf * idf AS w FROM {prefix}tf JOIN {prefix}idf USING (token)
+),
+{prefix}w AS (
+    SELECT {id_col}, token, w / sqrt(sum(w * w) OVER (PARTITION BY {id_col})) AS w
+    FROM {prefix}w0
+)
+"""
+
+
+def query_weight_ctes(queries: str, id_col: str, text: str, idf: str, prefix: str) -> str:
+    return f"""
+{prefix}tok AS (
+    SELECT {id_col}, unnest(regexp_extract_all(lower({text}), {TOKEN_RE})) AS token
+    FROM {queries}
+),
+{prefix}tf AS (
+    SELECT {id_col}, token, count(*) AS tf FROM {prefix}tok
+    WHERE NOT list_contains({STOP}, token) GROUP BY {id_col}, token
+),
+{prefix}w0 AS (
+    SELECT {id_col}, token, tf * idf AS w FROM {prefix}tf JOIN {idf} USING (token)
+),
+{prefix}w AS (
+    SELECT {id_col}, token, w / sqrt(sum(w * w) OVER (PARTITION BY {id_col})) AS w
+    FROM {prefix}w0
+)
+"""
+
+
+ORACLES["tfidf_documents"] = inline_ctes(
+    "WITH " + tfidf_ctes("documents", "doc_id", "text", "d").strip() + """
+SELECT doc_id, token, round(w, 6) AS weight FROM dw
+""")
+
+# Brute force: every (query, document) pair, zero when no token is shared.
+ORACLES["similar_documents"] = inline_ctes(
+    "WITH "
+    + tfidf_ctes("documents", "doc_id", "text", "d").strip()
+    + ",\n"
+    + query_weight_ctes("benchmark", "item_id", "text", "didf", "q").strip()
+    + """,
+pos AS (
+    SELECT qw.item_id, dw.doc_id, sum(qw.w * dw.w) AS score
+    FROM qw JOIN dw USING (token) GROUP BY qw.item_id, dw.doc_id
+),
+allp AS (
+    SELECT b.item_id, d.doc_id, round(coalesce(pos.score, 0.0), 6) AS score
+    FROM benchmark b CROSS JOIN documents d
+    LEFT JOIN pos ON pos.item_id = b.item_id AND pos.doc_id = d.doc_id
+),
+ranked AS (
+    SELECT item_id, doc_id, score,
+           row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM allp
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+
+
+def recommend_oracle(requests_sql: str, top_n: int = 10) -> str:
+    """Brute-force recommendation: every (request, venue) pair that passes
+    the filters is scored; zero scores are ranked too."""
+    return with_venues(f"""
+req0 AS (
+{requests_sql}
+),
+req AS (
+    SELECT CAST(request_id AS BIGINT) AS request_id,
+           CASE WHEN length(city) > 0 THEN city END AS q_city,
+           CASE WHEN length(cuisine) > 0 THEN cuisine END AS q_cuisine,
+           CAST(price_range AS INTEGER) AS q_price,
+           CAST(table_booking AS BOOLEAN) AS q_table,
+           CAST(online_delivery AS BOOLEAN) AS q_delivery
+    FROM req0
+),
+preq AS (
+    SELECT *, concat_ws(' ', q_cuisine, q_city, 'price_' || CAST(q_price AS VARCHAR),
+                        'table_' || CASE WHEN q_table THEN 'yes' WHEN NOT q_table THEN 'no' END,
+                        'delivery_' || CASE WHEN q_delivery THEN 'yes'
+                                            WHEN NOT q_delivery THEN 'no' END) AS qtext
+    FROM req
+    WHERE q_city IS NOT NULL OR q_cuisine IS NOT NULL OR q_price IS NOT NULL
+       OR q_table IS NOT NULL OR q_delivery IS NOT NULL
+),
+rec AS (
+    SELECT venue_id, venue_name,
+           coalesce(cuisines, 'Unknown') AS cuisines,
+           coalesce(city, 'Unknown') AS city,
+           coalesce(price_range, 0) AS price_range,
+           coalesce(has_table_booking, 'No') AS has_table_booking,
+           coalesce(has_online_delivery, 'No') AS has_online_delivery,
+           rating, avg_cost, votes
+    FROM v
+),
+vdoc AS (
+    SELECT venue_id,
+           concat_ws(' ', cuisines, city, 'price_' || CAST(price_range AS VARCHAR),
+                     'table_' || lower(has_table_booking),
+                     'delivery_' || lower(has_online_delivery)) AS t
+    FROM rec
+),
+""" + tfidf_ctes("vdoc", "venue_id", "t", "v").strip() + ",\n"
+        + query_weight_ctes("preq", "request_id", "qtext", "vidf", "q").strip() + f""",
+pairs AS (
+    SELECT r.request_id, rec.venue_id
+    FROM preq r JOIN rec ON
+        (r.q_city IS NULL OR lower(rec.city) = lower(r.q_city))
+        AND (r.q_cuisine IS NULL OR regexp_matches(rec.cuisines, r.q_cuisine, 'i'))
+        AND (r.q_price IS NULL OR rec.price_range = r.q_price)
+        AND (r.q_table IS NULL OR lower(rec.has_table_booking)
+             = CASE WHEN r.q_table THEN 'yes' ELSE 'no' END)
+        AND (r.q_delivery IS NULL OR lower(rec.has_online_delivery)
+             = CASE WHEN r.q_delivery THEN 'yes' ELSE 'no' END)
+),
+sc AS (
+    SELECT p.request_id, p.venue_id, round(coalesce(sum(qw.w * vw.w), 0.0), 6) AS score
+    FROM pairs p JOIN vw ON vw.venue_id = p.venue_id
+    LEFT JOIN qw ON qw.request_id = p.request_id AND qw.token = vw.token
+    GROUP BY p.request_id, p.venue_id
+),
+ranked AS (
+    SELECT request_id, venue_id, score,
+           row_number() OVER (PARTITION BY request_id ORDER BY score DESC, venue_id) AS rank
+    FROM sc
+),
+firstn AS (
+    SELECT venue_id, row_number() OVER (ORDER BY venue_id) AS rank
+    FROM rec ORDER BY venue_id LIMIT {top_n}
+),
+top AS (
+    SELECT request_id, venue_id, score, rank FROM ranked WHERE rank <= {top_n}
+    UNION ALL
+    SELECT r.request_id, f.venue_id, 1.0, f.rank
+    FROM req r CROSS JOIN firstn f
+    WHERE r.request_id NOT IN (SELECT request_id FROM preq)
+)
+SELECT t.request_id, CAST(t.rank AS INTEGER) AS rank, t.venue_id,
+       rec.venue_name AS name, rec.cuisines AS cuisine, rec.city,
+       round(CAST(rec.rating AS DOUBLE), 6) AS rating,
+       CAST(rec.price_range AS INTEGER) AS price_range,
+       CAST(trunc(rec.avg_cost) AS INTEGER) AS cost,
+       CAST(trunc(rec.votes) AS INTEGER) AS votes,
+       rec.has_online_delivery AS online_delivery,
+       rec.has_table_booking AS table_booking,
+       round(t.score, 6) AS similarity_score
+FROM top t JOIN rec USING (venue_id)
+""")
+
+
+_REQ_TYPES = (
+    "SELECT CAST(1 AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS city, "
+    "CAST(NULL AS VARCHAR) AS cuisine, CAST(NULL AS INTEGER) AS price_range, "
+    "CAST(NULL AS BOOLEAN) AS table_booking, CAST(NULL AS BOOLEAN) AS online_delivery "
+    "WHERE false"
+)
+
+
+def _sql_value(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, int):
+        return str(x)
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+def requests_sql(rows) -> str:
+    parts = [_REQ_TYPES]
+    for row in rows:
+        cols = ", ".join(_sql_value(x) for x in row)
+        parts.append(f"SELECT * FROM (VALUES ({cols}))")
+    return "\nUNION ALL ".join(parts)
+
+
+def _batch_requests_sql() -> str:
+    from platewise.plans.registry import BATCH_REQUESTS
+
+    return requests_sql(BATCH_REQUESTS) + """
+UNION ALL
+SELECT 100 + n_nationkey, lower(n_name), NULL, n_nationkey % 4 + 1, n_nationkey % 2 = 0, NULL
+FROM nat"""
+
+
+ORACLES["recommend_one"] = recommend_oracle(
+    requests_sql([(1, "nation_7", "brand#12", None, None, None)])
+)
+ORACLES["recommend_empty"] = recommend_oracle(requests_sql([(1, None, None, None, None, None)]))
+ORACLES["recommend_batch"] = recommend_oracle(_batch_requests_sql())

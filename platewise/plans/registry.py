@@ -189,3 +189,69 @@ def _label_bands(spark, sf_dir):
         (F.col("rating") * 20).alias("score"),
     )
     return cleaning.label_bands(rows, "rating", "price_range", "locality_count", "score")
+
+
+# ---- text similarity and recommendation (J1-J5, D4, F3, G6) -----------------
+from platewise.operators import similarity  # noqa: E402
+from platewise.sources.testdata import documents, table  # noqa: E402
+
+# Fixture requests: every kind of filter set / unset, a city in other letter
+# case, a cuisine pattern, a cuisine and a city that match nothing, an empty
+# request.  More requests are derived from the nation table below.
+BATCH_REQUESTS = [
+    (1, "NATION_3", None, None, None, None),
+    (2, "nation_3", "brand#1$|brand#2", None, True, None),
+    (3, None, "Brand#7", 2, None, False),
+    (4, None, None, None, None, None),
+    (5, "", "", None, None, None),
+    (6, "NATION_5", "no-such-cuisine", None, None, None),
+    (7, None, None, 4, True, True),
+    (8, "Atlantis", None, None, None, None),
+]
+TOP_N = 10
+
+
+def batch_requests(spark, sf_dir):
+    fixed = spark.createDataFrame(BATCH_REQUESTS, similarity.REQUEST_SCHEMA)
+    derived = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 100).cast("bigint").alias("request_id"),
+        F.lower("n_name").alias("city"),
+        F.lit(None).cast("string").alias("cuisine"),
+        ((F.col("n_nationkey") % 4) + 1).cast("int").alias("price_range"),
+        (F.col("n_nationkey") % 2 == 0).alias("table_booking"),
+        F.lit(None).cast("boolean").alias("online_delivery"),
+    )
+    return fixed.unionByName(derived)
+
+
+@register("token_counts_documents")
+def _token_counts(spark, sf_dir):
+    return similarity.token_counts(documents(spark, sf_dir), "doc_id", "text")
+
+
+@register("tfidf_documents")
+def _tfidf_documents(spark, sf_dir):
+    return similarity.fit_tfidf(documents(spark, sf_dir), "doc_id", "text")[1]
+
+
+@register("similar_documents")
+def _similar_documents(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark")
+    return similarity.similar_documents(queries, documents(spark, sf_dir), 10)
+
+
+@register("recommend_one")
+def _recommend_one(spark, sf_dir):
+    return similarity.recommend_one(
+        venues(spark, sf_dir), cuisine="brand#12", city="nation_7", top_n=TOP_N
+    )
+
+
+@register("recommend_batch")
+def _recommend_batch(spark, sf_dir):
+    return similarity.recommend(batch_requests(spark, sf_dir), venues(spark, sf_dir), TOP_N)
+
+
+@register("recommend_empty")
+def _recommend_empty(spark, sf_dir):
+    return similarity.recommend_one(venues(spark, sf_dir), top_n=TOP_N)
