@@ -587,3 +587,70 @@ ORACLES["recommend_one"] = recommend_oracle(
 )
 ORACLES["recommend_empty"] = recommend_oracle(requests_sql([(1, None, None, None, None, None)]))
 ORACLES["recommend_batch"] = recommend_oracle(_batch_requests_sql())
+
+# ---- keyword classification of pages ----------------------------------------
+
+PAGE_TEXT = r"""
+pt AS (
+    SELECT page_id,
+           trim(regexp_replace(
+               replace(replace(replace(replace(replace(
+                   regexp_replace(
+                       regexp_replace(
+                           regexp_replace(
+                               regexp_replace(html,
+                                   '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>',
+                                   ' ', 'g'),
+                               '(?s)<!--.*?-->', ' ', 'g'),
+                           '(?i)<!doctype[^>]*>', ' ', 'g'),
+                       '</?[A-Za-z!?][^>]*>', ' ', 'g'),
+                   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
+               '[ \t\n\r\f\x0B]+', ' ', 'g')) AS text
+    FROM pages
+)
+"""
+
+ORACLES["page_text"] = inline_ctes("WITH " + PAGE_TEXT.strip() + "\nSELECT page_id, text FROM pt")
+
+
+def keyword_oracle(dictionary) -> str:
+    rows = ",\n        ".join(
+        f"({_sql_value(cat)}, {order}, {_sql_value(word)})"
+        for order, (cat, words) in enumerate(dictionary)
+        for word in words
+    )
+    return inline_ctes("WITH " + PAGE_TEXT.strip() + f""",
+kw AS (
+    SELECT * FROM (VALUES
+        {rows}
+    ) t(category, ord, keyword)
+),
+ncat AS (SELECT category, count(*) AS n_kw FROM kw GROUP BY category),
+hits AS (
+    SELECT pt.page_id, kw.category, kw.ord, count(*) AS hits
+    FROM pt JOIN kw ON contains(lower(pt.text), kw.keyword)
+    GROUP BY pt.page_id, kw.category, kw.ord
+),
+best AS (
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY hits DESC, ord) AS rn FROM hits
+)
+SELECT pt.page_id,
+       coalesce(b.category, 'Unknown') AS cuisine,
+       CASE WHEN b.category IS NULL THEN 0.0
+            ELSE round(least(CAST(b.hits AS DOUBLE) / n.n_kw * 100, 95.0), 6) END AS confidence,
+       CAST(coalesce(b.hits, 0) AS INTEGER) AS hits
+FROM pt
+LEFT JOIN best b ON b.page_id = pt.page_id AND b.rn = 1
+LEFT JOIN ncat n ON n.category = b.category
+""")
+
+
+def _keyword_oracles():
+    from platewise.plans.registry import WORD_PIECES
+    from platewise.schema import CUISINE_KEYWORDS
+
+    ORACLES["page_keywords"] = keyword_oracle(CUISINE_KEYWORDS)
+    ORACLES["page_keywords_pieces"] = keyword_oracle(WORD_PIECES)
+
+
+_keyword_oracles()

@@ -255,3 +255,33 @@ def _recommend_batch(spark, sf_dir):
 @register("recommend_empty")
 def _recommend_empty(spark, sf_dir):
     return similarity.recommend_one(venues(spark, sf_dir), top_n=TOP_N)
+
+
+# ---- keyword classification of pages (N1, N2) -------------------------------
+from platewise.operators import keywords  # noqa: E402
+from platewise.sources.testdata import pages  # noqa: E402
+
+# Test dictionary of word pieces that occur in the test pages (FIXTURES.md
+# §3), plus one category that never matches.
+WORD_PIECES = [
+    ("German", ["icht", "ung"]),
+    ("French", ["eau", "que", "ment", "oup"]),
+    ("English", ["tion", "wh"]),
+    ("Spanish", ["ción", "ado", "ente"]),
+    ("Never", ["zzqx"]),
+]
+
+
+@register("page_text")
+def _page_text(spark, sf_dir):
+    return keywords.page_text(pages(spark, sf_dir))
+
+
+@register("page_keywords")
+def _page_keywords(spark, sf_dir):
+    return keywords.page_keywords(pages(spark, sf_dir))
+
+
+@register("page_keywords_pieces")
+def _page_keywords_pieces(spark, sf_dir):
+    return keywords.page_keywords(pages(spark, sf_dir), WORD_PIECES)
