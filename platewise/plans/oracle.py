@@ -654,3 +654,217 @@ def _keyword_oracles():
 
 
 _keyword_oracles()
+
+# ---- features, splits and metrics --------------------------------------------
+
+RATING_ROWS = """
+rr AS (
+    SELECT venue_id, rating,
+           coalesce(city, 'Unknown') AS city,
+           coalesce(cuisines, 'Unknown') AS cuisines,
+           coalesce(rest_type, 'Unknown') AS rest_type,
+           CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 2) < '33'
+                THEN 'test' ELSE 'train' END AS split
+    FROM v WHERE rating IS NOT NULL
+)
+"""
+
+ORACLES["label_encode"] = with_venues(RATING_ROWS + """
+SELECT 'city' AS feature, value, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS code
+FROM (SELECT DISTINCT city AS value FROM rr)
+UNION ALL
+SELECT 'cuisines', value, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT)
+FROM (SELECT DISTINCT cuisines AS value FROM rr)
+UNION ALL
+SELECT 'rest_type', value, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT)
+FROM (SELECT DISTINCT rest_type AS value FROM rr)
+""")
+
+ORACLES["encode_unseen"] = with_venues(RATING_ROWS + """,
+codes AS (
+    SELECT 'city' AS feature, value, row_number() OVER (ORDER BY value) - 1 AS code
+    FROM (SELECT DISTINCT city AS value FROM rr)
+    UNION ALL
+    SELECT 'cuisines', value, row_number() OVER (ORDER BY value) - 1
+    FROM (SELECT DISTINCT cuisines AS value FROM rr)
+    UNION ALL
+    SELECT 'rest_type', value, row_number() OVER (ORDER BY value) - 1
+    FROM (SELECT DISTINCT rest_type AS value FROM rr)
+),
+fb AS (
+    SELECT feature,
+           coalesce(max(CASE WHEN value = 'Unknown' THEN code END), count(*)) AS fallback
+    FROM codes GROUP BY feature
+),
+q AS (
+    SELECT n_nationkey AS request_id,
+           coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END, 'Unknown')
+               AS city,
+           coalesce('Brand#' || CAST(n_nationkey AS VARCHAR), 'Unknown') AS cuisines,
+           coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'BUILDING'
+                         WHEN n_nationkey % 3 = 1 THEN 'building' END, 'Unknown') AS rest_type
+    FROM nat
+)
+SELECT CAST(q.request_id AS BIGINT) AS request_id,
+       CAST(coalesce(c1.code, (SELECT fallback FROM fb WHERE feature = 'city')) AS BIGINT)
+           AS city_code,
+       CAST(coalesce(c2.code, (SELECT fallback FROM fb WHERE feature = 'cuisines')) AS BIGINT)
+           AS cuisines_code,
+       CAST(coalesce(c3.code, (SELECT fallback FROM fb WHERE feature = 'rest_type')) AS BIGINT)
+           AS rest_type_code
+FROM q
+LEFT JOIN codes c1 ON c1.feature = 'city' AND c1.value = q.city
+LEFT JOIN codes c2 ON c2.feature = 'cuisines' AND c2.value = q.cuisines
+LEFT JOIN codes c3 ON c3.feature = 'rest_type' AND c3.value = q.rest_type
+""")
+
+ORACLES["split_plain"] = with_venues("""
+SELECT venue_id,
+       CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 2) < '33'
+            THEN 'test' ELSE 'train' END AS split
+FROM v
+""")
+
+CUISINE_ROWS = """
+cls AS (
+    SELECT venue_id, coalesce(locality, 'Unknown') AS locality,
+           trim(split_part(coalesce(cuisines, 'Unknown'), ',', 1)) AS label
+    FROM v
+),
+tc AS (SELECT label FROM cls GROUP BY label ORDER BY count(*) DESC, label LIMIT 10),
+crow AS (SELECT * FROM cls WHERE label IN (SELECT label FROM tc)),
+strat AS (
+    SELECT venue_id, locality, label,
+           CASE WHEN row_number() OVER (PARTITION BY label
+                                        ORDER BY md5(CAST(venue_id AS VARCHAR) || '42'), venue_id)
+                     <= round(count(*) OVER (PARTITION BY label) * 0.2)
+                THEN 'test' ELSE 'train' END AS split
+    FROM crow
+)
+"""
+
+ORACLES["top_classes"] = with_venues(CUISINE_ROWS + """
+SELECT venue_id, label AS main_cuisine FROM crow
+""")
+
+ORACLES["split_stratified"] = with_venues(CUISINE_ROWS + """
+SELECT venue_id, label, split FROM strat
+""")
+
+ORACLES["regression_metrics"] = with_venues(RATING_ROWS + """,
+tm AS (SELECT city, avg(rating) AS m FROM rr WHERE split = 'train' GROUP BY city),
+gm AS (SELECT avg(rating) AS g FROM rr WHERE split = 'train'),
+p AS (
+    SELECT rr.split, rr.rating AS label, coalesce(tm.m, gm.g) AS prediction
+    FROM rr LEFT JOIN tm USING (city) CROSS JOIN gm
+),
+mm AS (SELECT split, avg(label) AS mean FROM p GROUP BY split),
+s AS (
+    SELECT p.split, count(*) AS n,
+           avg((label - prediction) * (label - prediction)) AS mse,
+           avg(abs(label - prediction)) AS mae,
+           sum((label - prediction) * (label - prediction)) AS sse,
+           sum((label - mean) * (label - mean)) AS sst
+    FROM p JOIN mm USING (split) GROUP BY p.split
+)
+SELECT split, n, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae,
+       round(CASE WHEN sst <> 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2
+FROM s
+""")
+
+CUISINE_PRED = CUISINE_ROWS + """,
+tr AS (SELECT * FROM strat WHERE split = 'train'),
+lm AS (
+    SELECT locality, label AS prediction FROM (
+        SELECT locality, label,
+               row_number() OVER (PARTITION BY locality ORDER BY count(*) DESC, label) AS rn
+        FROM tr GROUP BY locality, label)
+    WHERE rn = 1
+),
+gmode AS (SELECT label AS g FROM tr GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+p AS (
+    SELECT s.venue_id, s.split, s.label, coalesce(lm.prediction, gmode.g) AS prediction
+    FROM strat s LEFT JOIN lm USING (locality) CROSS JOIN gmode
+),
+sup AS (
+    SELECT split, label AS class, count(*) AS support,
+           sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS tp
+    FROM p GROUP BY split, label
+),
+prd AS (SELECT split, prediction AS class, count(*) AS predicted FROM p GROUP BY split, prediction),
+pc AS (
+    SELECT coalesce(sup.split, prd.split) AS split, coalesce(sup.class, prd.class) AS class,
+           CAST(coalesce(support, 0) AS BIGINT) AS support,
+           CAST(coalesce(predicted, 0) AS BIGINT) AS predicted,
+           CAST(coalesce(tp, 0) AS BIGINT) AS tp
+    FROM sup FULL OUTER JOIN prd ON sup.split = prd.split AND sup.class = prd.class
+),
+pcm AS (
+    SELECT split, class, support, tp,
+           CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+           CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+    FROM pc
+),
+pcf AS (
+    SELECT *, CASE WHEN precision + recall > 0
+                   THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+    FROM pcm
+)
+"""
+
+ORACLES["class_metrics"] = with_venues(CUISINE_PRED + """,
+acc AS (
+    SELECT split, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy
+    FROM p GROUP BY split
+)
+SELECT pcf.split, round(any_value(acc.accuracy), 6) AS accuracy,
+       round(avg(precision), 6) AS precision_macro,
+       round(sum(precision * support) / sum(support), 6) AS precision_weighted,
+       round(avg(recall), 6) AS recall_macro,
+       round(sum(recall * support) / sum(support), 6) AS recall_weighted,
+       round(avg(f1), 6) AS f1_macro,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted
+FROM pcf JOIN acc USING (split) GROUP BY pcf.split
+""")
+
+ORACLES["per_class_metrics"] = with_venues(CUISINE_PRED + """
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       support, tp
+FROM pcf WHERE split = 'test'
+""")
+
+ORACLES["confusion_matrix"] = with_venues(CUISINE_PRED + """,
+pt AS (SELECT * FROM p WHERE split = 'test'),
+cl AS (SELECT label AS c FROM pt UNION SELECT prediction FROM pt),
+cnt AS (SELECT label, prediction, count(*) AS n FROM pt GROUP BY label, prediction)
+SELECT a.c AS actual, b.c AS predicted, CAST(coalesce(cnt.n, 0) AS BIGINT) AS "count"
+FROM cl a CROSS JOIN cl b
+LEFT JOIN cnt ON cnt.label = a.c AND cnt.prediction = b.c
+""")
+
+ORACLES["weak_classes"] = with_venues(CUISINE_PRED + """
+SELECT class, round(f1, 6) AS f1, support, round(precision, 6) AS precision,
+       round(recall, 6) AS recall,
+       concat_ws(', ',
+                 CASE WHEN support < 50 THEN 'low sample size' END,
+                 CASE WHEN precision < 0.6 THEN 'high false positive rate' END,
+                 CASE WHEN recall < 0.6 THEN 'many samples misclassified' END) AS reasons
+FROM pcf WHERE split = 'test' AND f1 < 0.7
+""")
+
+ORACLES["class_imbalance"] = with_venues(CUISINE_PRED + """,
+t AS (SELECT * FROM pcf WHERE split = 'test'),
+a AS (
+    SELECT max(support) AS max_support, min(support) AS min_support,
+           bool_or(f1 < 0.7) AS weak
+    FROM t
+),
+r AS (
+    SELECT *, CASE WHEN min_support > 0 THEN CAST(max_support AS DOUBLE) / min_support
+                   ELSE CAST('inf' AS DOUBLE) END AS ratio
+    FROM a
+)
+SELECT max_support, min_support, round(ratio, 6) AS imbalance_ratio,
+       ratio > 5 AS imbalanced, (weak OR ratio > 5) AS biases_identified
+FROM r
+""")

@@ -285,3 +285,89 @@ def _page_keywords(spark, sf_dir):
 @register("page_keywords_pieces")
 def _page_keywords_pieces(spark, sf_dir):
     return keywords.page_keywords(pages(spark, sf_dir), WORD_PIECES)
+
+
+# ---- features, splits and metrics (K1-K5, M1-M7) ----------------------------
+from platewise.operators import features, metrics  # noqa: E402
+from platewise.plans import baselines  # noqa: E402
+
+ENCODED = ["city", "cuisines", "rest_type"]
+
+
+def encode_requests(spark, sf_dir):
+    """Scoring requests derived from the nation table: half of the cities in
+    other letter case (unseen), brand names as cuisines, rest types seen,
+    unseen and missing."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        n.cast("bigint").alias("request_id"),
+        F.when(n % 2 == 0, F.col("n_name")).otherwise(F.lower("n_name")).alias("city"),
+        F.concat(F.lit("Brand#"), n.cast("string")).alias("cuisines"),
+        F.when(n % 3 == 0, F.lit("BUILDING"))
+        .when(n % 3 == 1, F.lit("building"))
+        .alias("rest_type"),
+    )
+
+
+@register("label_encode")
+def _label_encode(spark, sf_dir):
+    return features.label_codes(baselines.rating_rows(venues(spark, sf_dir)), ENCODED)
+
+
+@register("encode_unseen")
+def _encode_unseen(spark, sf_dir):
+    codes = features.label_codes(baselines.rating_rows(venues(spark, sf_dir)), ENCODED)
+    out = features.encode(encode_requests(spark, sf_dir), codes, ENCODED)
+    return out.select("request_id", *[c + "_code" for c in ENCODED])
+
+
+@register("split_plain")
+def _split_plain(spark, sf_dir):
+    return features.split_plain(venues(spark, sf_dir), "venue_id").select("venue_id", "split")
+
+
+@register("split_stratified")
+def _split_stratified(spark, sf_dir):
+    return baselines.cuisine_rows(venues(spark, sf_dir)).select("venue_id", "label", "split")
+
+
+@register("top_classes")
+def _top_classes(spark, sf_dir):
+    return features.top_classes(venues(spark, sf_dir), 10).select("venue_id", "main_cuisine")
+
+
+@register("regression_metrics")
+def _regression_metrics(spark, sf_dir):
+    return metrics.regression_metrics(
+        baselines.rating_baseline(venues(spark, sf_dir)), group="split"
+    )
+
+
+def _test_predictions(spark, sf_dir):
+    pred = baselines.cuisine_baseline(venues(spark, sf_dir))
+    return pred.where(F.col("split") == "test")
+
+
+@register("class_metrics")
+def _class_metrics(spark, sf_dir):
+    return metrics.class_metrics(baselines.cuisine_baseline(venues(spark, sf_dir)), group="split")
+
+
+@register("per_class_metrics")
+def _per_class_metrics(spark, sf_dir):
+    return metrics.per_class_metrics(_test_predictions(spark, sf_dir))
+
+
+@register("confusion_matrix")
+def _confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(_test_predictions(spark, sf_dir))
+
+
+@register("weak_classes")
+def _weak_classes(spark, sf_dir):
+    return metrics.weak_classes(metrics.per_class_metrics(_test_predictions(spark, sf_dir)))
+
+
+@register("class_imbalance")
+def _class_imbalance(spark, sf_dir):
+    return metrics.class_imbalance(metrics.per_class_metrics(_test_predictions(spark, sf_dir)))
