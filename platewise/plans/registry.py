@@ -371,3 +371,89 @@ def _weak_classes(spark, sf_dir):
 @register("class_imbalance")
 def _class_imbalance(spark, sf_dir):
     return metrics.class_imbalance(metrics.per_class_metrics(_test_predictions(spark, sf_dir)))
+
+
+# ---- models (L1-L8), rows-only checks ----------------------------------------
+from platewise.operators import models  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def _model(kind: str, spark, sf_dir):
+    """Train once per session, table folder and kind."""
+    key = (kind, id(spark), sf_dir)
+    if key not in _MODELS:
+        train = models.train_rating_model if kind == "rating" else models.train_cuisine_model
+        _MODELS[key] = train(venues(spark, sf_dir))
+    return _MODELS[key]
+
+
+def rating_requests(spark, sf_dir):
+    """Rating requests derived from the nation table (one city in other
+    letter case is unseen), API field names."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        n.cast("bigint").alias("request_id"),
+        (n % 2).cast("int").alias("online_order"),
+        ((n + 1) % 2).cast("int").alias("book_table"),
+        (n * 10).cast("bigint").alias("votes"),
+        F.when(n == 24, F.lower("n_name")).otherwise(F.col("n_name")).alias("location"),
+        F.when(n % 3 == 0, F.lit("BUILDING")).otherwise(F.lit("AUTOMOBILE")).alias("rest_type"),
+        F.concat(F.lit("Brand#"), n.cast("string")).alias("cuisines"),
+        (n * 100.0).alias("cost"),
+    )
+
+
+def cuisine_requests(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        n.cast("bigint").alias("request_id"),
+        F.col("n_name").alias("city"),
+        (n % 2).cast("int").alias("has_table_booking"),
+        (F.floor(n / 2) % 2).cast("int").alias("has_online_delivery"),
+        ((n % 4) + 1).cast("int").alias("price_range"),
+        (n * 10).cast("bigint").alias("votes"),
+    )
+
+
+@register("rating_predict", rows_only=True)
+def _rating_predict(spark, sf_dir):
+    return models.predict_rating(_model("rating", spark, sf_dir), rating_requests(spark, sf_dir))
+
+
+@register("score_distinct", rows_only=True)
+def _score_distinct(spark, sf_dir):
+    req = rating_requests(spark, sf_dir)
+    doubled = req.unionByName(req.withColumn("request_id", F.col("request_id") + 1000))
+    keys = [c for c in req.columns if c != "request_id"]
+    return models.score_distinct(_model("rating", spark, sf_dir), doubled, keys)
+
+
+@register("feature_importance", rows_only=True)
+def _feature_importance(spark, sf_dir):
+    return _model("rating", spark, sf_dir).importances()
+
+
+@register("cuisine_predict_top3", rows_only=True)
+def _cuisine_predict(spark, sf_dir):
+    return models.predict_cuisine(_model("cuisine", spark, sf_dir), cuisine_requests(spark, sf_dir))
+
+
+@register("cuisine_model_metrics", rows_only=True)
+def _cuisine_model_metrics(spark, sf_dir):
+    return _model("cuisine", spark, sf_dir).metrics
+
+
+@register("rating_model_metrics", rows_only=True)
+def _rating_model_metrics(spark, sf_dir):
+    return _model("rating", spark, sf_dir).metrics
+
+
+@register("tune_rating", rows_only=True)
+def _tune_rating(spark, sf_dir):
+    return models.tune_rating(venues(spark, sf_dir), n_trials=20)
+
+
+@register("train_all", rows_only=True)
+def _train_all(spark, sf_dir):
+    return models.train_all(venues(spark, sf_dir))
