@@ -70,16 +70,25 @@ def classify_text(
             F.struct(
                 hits.alias("hits"),
                 F.lit(-order).alias("neg_order"),
-                F.lit(category).alias("category"),
-                F.lit(len(words)).alias("n_keywords"),
+                F.lit(category).alias("cuisine"),
+                F.least(hits / F.lit(len(words)) * 100, F.lit(MAX_CONFIDENCE)).alias("confidence"),
             )
         )
-    best = F.greatest(*candidates) if len(candidates) > 1 else candidates[0]
-    found = best["hits"] > 0
-    confidence = F.least(best["hits"] / best["n_keywords"] * 100, F.lit(MAX_CONFIDENCE))
+    # 'Unknown' wins only when every category has 0 hits (its order key is
+    # above every category's); no CASE branches around the shared result,
+    # so Spark evaluates the text and the comparison once per row
+    candidates.append(
+        F.struct(
+            F.lit(0).alias("hits"),
+            F.lit(1).alias("neg_order"),
+            F.lit(UNKNOWN).alias("cuisine"),
+            F.lit(0.0).alias("confidence"),
+        )
+    )
+    best = F.greatest(*candidates)
     return F.struct(
-        F.when(found, best["category"]).otherwise(F.lit(UNKNOWN)).alias("cuisine"),
-        F.when(found, confidence).otherwise(F.lit(0.0)).alias("confidence"),
+        best["cuisine"].alias("cuisine"),
+        best["confidence"].alias("confidence"),
         best["hits"].cast("int").alias("hits"),
     )
 
@@ -90,6 +99,9 @@ def page_keywords(
     html_col: str = "html",
     id_col: str = "page_id",
 ) -> DataFrame:
-    """N1 + N2: best keyword category of each page's visible text."""
-    result = classify_text(visible_text(F.col(html_col)), dictionary)
-    return pages.select(id_col, result.alias("r")).select(id_col, "r.*")
+    """N1 + N2: best keyword category of each page's visible text.  The text
+    is its own projection first, so the regular expressions run once per
+    page and not once per keyword test."""
+    text = pages.select(id_col, visible_text(F.col(html_col)).alias("_text"))
+    result = classify_text(F.col("_text"), dictionary)
+    return text.select(id_col, result.alias("r")).select(id_col, "r.*")
