@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from platewise.operators.similarity import REQUEST_SCHEMA, recommend
+from platewise.operators.similarity import REQUEST_SCHEMA, fit_recommender, recommend
 
 
 def stream_requests(
@@ -49,12 +49,14 @@ def stream_recommendations(
     top_n: int = 10,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Recommendation requests (``REQUEST_SCHEMA``) as a stream."""
+    """Recommendation requests (``REQUEST_SCHEMA``) as a stream.  The
+    recommender is fitted once; every micro-batch is scored against it."""
+    state = fit_recommender(venues)
     return stream_requests(
         spark,
         source_dir,
         REQUEST_SCHEMA,
-        lambda batch: recommend(batch, venues, top_n),
+        lambda batch: recommend(batch, state, top_n),
         sink_dir,
         checkpoint,
         available_now=available_now,

@@ -103,3 +103,20 @@ def test_stream_recommendations(spark, venues_small, tmp_path):
     cols = ["request_id", "rank", "venue_id", "similarity_score"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     assert os.path.isdir(tmp_path / "ck")
+
+
+def test_recommender_state_round_trip(spark, venues_small, tmp_path):
+    state = similarity.fit_recommender(venues_small)
+    reqs = spark.createDataFrame(
+        [(1, "nation_3", None, None, None, None), (2, None, "brand#1", 2, None, True)],
+        similarity.REQUEST_SCHEMA,
+    )
+    before = similarity.recommend(reqs, state, 5)
+    state.save(str(tmp_path / "rec"))
+    loaded = similarity.Recommender.load(spark, str(tmp_path / "rec"))
+    after = similarity.recommend(reqs, loaded, 5)
+    cols = ["request_id", "rank", "venue_id", "similarity_score"]
+    assert sorted(map(tuple, before.select(cols).collect())) == sorted(
+        map(tuple, after.select(cols).collect())
+    )
+    assert before.count() == 10
