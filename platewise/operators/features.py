@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expressions import main_cuisine
 from platewise.operators.common import sorted_codes
-from platewise.operators.profile import class_distribution
 from platewise.schema import UNKNOWN
 
 SEED = 42
@@ -136,6 +135,11 @@ def top_classes(venues: DataFrame, k: int = 10) -> DataFrame:
     """K5 (+C8/D2): venues whose main cuisine is among the ``k`` most
     frequent (count desc, name asc).  The class list is a top-k (bounded by
     ``k``) and is applied as a broadcast left-semi join."""
-    top = class_distribution(venues).orderBy(F.desc("count"), "main_cuisine").limit(k)
     labelled = venues.withColumn("main_cuisine", main_cuisine("cuisines"))
+    top = (
+        labelled.groupBy("main_cuisine")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .orderBy(F.desc("count"), "main_cuisine")
+        .limit(k)
+    )
     return labelled.join(F.broadcast(top.select("main_cuisine")), "main_cuisine", "left_semi")

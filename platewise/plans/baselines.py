@@ -38,13 +38,17 @@ def rating_baseline(venues: DataFrame) -> DataFrame:
 
 
 def cuisine_rows(venues: DataFrame, k: int = 10) -> DataFrame:
-    """Classification rows: top-k main cuisines, stratified split."""
+    """Classification rows: top-k main cuisines, stratified split.
+
+    The split assignment feeds several branches (training modes, the
+    overall mode, the scored rows), so it is checkpointed once to the
+    reliable checkpoint folder instead of being re-derived in each."""
     rows = top_classes(venues, k).select(
         "venue_id",
         F.coalesce(F.col("locality"), F.lit(UNKNOWN)).alias("locality"),
         F.col("main_cuisine").alias("label"),
     )
-    return split_stratified(rows, "venue_id", "label")
+    return split_stratified(rows, "venue_id", "label").checkpoint(eager=True)
 
 
 def cuisine_baseline(venues: DataFrame) -> DataFrame:
