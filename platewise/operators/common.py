@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import to_number
+from platewise.session import checkpoint_dir
 from platewise.schema import UNKNOWN
 
 # Largest table that is broadcast after its size was checked (rows).
@@ -89,6 +90,7 @@ def sorted_codes(values: DataFrame, value: str, code: str = "code") -> DataFrame
     with one row per partition.  The tagged rows are checkpointed so that
     counts and positions come from the same materialised sort.
     """
+    checkpoint_dir(values.sparkSession)
     ordered = values.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value)
     tagged = ordered.select(
         value,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from platewise.operators.common import mode_by
 from platewise.operators.features import split_plain, split_stratified, top_classes
 from platewise.schema import UNKNOWN
+from platewise.session import checkpoint_dir
 
 
 def rating_rows(venues: DataFrame) -> DataFrame:
@@ -48,6 +49,7 @@ def cuisine_rows(venues: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(F.col("locality"), F.lit(UNKNOWN)).alias("locality"),
         F.col("main_cuisine").alias("label"),
     )
+    checkpoint_dir(venues.sparkSession)
     return split_stratified(rows, "venue_id", "label").checkpoint(eager=True)
 
 
