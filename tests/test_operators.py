@@ -185,3 +185,20 @@ def test_recommend_rules(spark):
     batch = similarity.recommend(reqs, df, 4).where("request_id = 7").collect()
     key = lambda r: (r["rank"], r.venue_id, r.similarity_score)
     assert sorted(map(key, batch)) == sorted(map(key, one))
+
+
+def test_similar_documents_zero_fill_matches_brute_force(spark):
+    docs = spark.createDataFrame(
+        [(5, "apple banana"), (3, "cherry date"), (9, "kiwi lemon"), (1, "mango melon"),
+         (7, "apple pear")],
+        "doc_id bigint, text string",
+    )
+    queries = spark.createDataFrame(
+        [(1, "pear pear"), (2, "zzz unknown words")], "item_id bigint, text string"
+    )
+    got = similarity.similar_documents(queries, docs, k=4).orderBy("item_id", "rank").collect()
+    q1 = [(r.doc_id, r.score > 0) for r in got if r.item_id == 1]
+    # doc 7 shares 'pear'; the rest score 0 and come by id: 1, 3, 5
+    assert q1 == [(7, True), (1, False), (3, False), (5, False)]
+    q2 = [r.doc_id for r in got if r.item_id == 2]
+    assert q2 == [1, 3, 5, 7]
