@@ -224,6 +224,23 @@ def batch_requests(spark, sf_dir):
     return fixed.unionByName(derived)
 
 
+def recommender(spark, sf_dir):
+    """The fitted recommender of a folder: fitted once, saved under the
+    checkpoint folder and loaded afterwards (the reference also fits once,
+    saves its vectoriser and matrix and loads them for serving)."""
+    from platewise.session import checkpoint_dir
+    from platewise.sources.testdata import _source_key
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/recommender/{_source_key(sf_dir, True)}"
+    try:
+        return similarity.Recommender.load(spark, path)
+    except Exception:  # noqa: BLE001 - not saved yet (or an incomplete save)
+        state = similarity.fit_recommender(venues(spark, sf_dir))
+        state.save(path)
+        state.release()
+        return similarity.Recommender.load(spark, path)
+
+
 @register("token_counts_documents")
 def _token_counts(spark, sf_dir):
     return similarity.token_counts(documents(spark, sf_dir), "doc_id", "text")
@@ -242,19 +259,21 @@ def _similar_documents(spark, sf_dir):
 
 @register("recommend_one")
 def _recommend_one(spark, sf_dir):
-    return similarity.recommend_one(
-        venues(spark, sf_dir), cuisine="brand#12", city="nation_7", top_n=TOP_N
+    req = spark.createDataFrame(
+        [(1, "nation_7", "brand#12", None, None, None)], similarity.REQUEST_SCHEMA
     )
+    return similarity.recommend(req, recommender(spark, sf_dir), TOP_N)
 
 
 @register("recommend_batch")
 def _recommend_batch(spark, sf_dir):
-    return similarity.recommend(batch_requests(spark, sf_dir), venues(spark, sf_dir), TOP_N)
+    return similarity.recommend(batch_requests(spark, sf_dir), recommender(spark, sf_dir), TOP_N)
 
 
 @register("recommend_empty")
 def _recommend_empty(spark, sf_dir):
-    return similarity.recommend_one(venues(spark, sf_dir), top_n=TOP_N)
+    req = spark.createDataFrame([(1, None, None, None, None, None)], similarity.REQUEST_SCHEMA)
+    return similarity.recommend(req, recommender(spark, sf_dir), TOP_N)
 
 
 # ---- keyword classification of pages (N1, N2) -------------------------------
