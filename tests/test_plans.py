@@ -6,6 +6,8 @@ from conftest import SF_SMALL
 
 
 def plan_of(df, capsys):
+    # other tests cache tables; look at the plan over the files themselves
+    df.sparkSession.catalog.clearCache()
     df.explain("formatted")
     return capsys.readouterr().out
 
