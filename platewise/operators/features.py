@@ -56,12 +56,16 @@ def encode(
         table = codes.where(F.col("feature") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}")
         )
-        stats = codes.where(F.col("feature") == c).agg(
-            F.max(F.when(F.col("value") == missing, F.col("code"))).alias("u"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        fallback = F.coalesce(
-            stats.select("u").scalar(), stats.select("n").scalar()
+        # code of `missing` when fitted, else the number of labels (one row)
+        fallback = (
+            codes.where(F.col("feature") == c)
+            .agg(
+                F.coalesce(
+                    F.max(F.when(F.col("value") == missing, F.col("code"))),
+                    F.count(F.lit(1)),
+                )
+            )
+            .scalar()
         )
         key = F.coalesce(F.col(c).cast("string"), F.lit(missing))
         out = (
