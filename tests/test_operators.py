@@ -202,3 +202,25 @@ def test_similar_documents_zero_fill_matches_brute_force(spark):
     assert q1 == [(7, True), (1, False), (3, False), (5, False)]
     q2 = [r.doc_id for r in got if r.item_id == 2]
     assert q2 == [1, 3, 5, 7]
+
+
+def test_search_and_sort_cities(spark):
+    df = venues_of(spark, [v(1, "Delhi", rating=4.5, cost=300.0), v(2, "Pune", rating=3.0, cost=900.0),
+                           v(3, "New Delhi", rating=4.0, cost=100.0)])
+    cities = location.city_overview(df, None)
+    hits = location.search(cities, "DELHI", ["city"], 4.0)
+    assert sorted(r.city for r in hits.collect()) == ["Delhi", "New Delhi"]
+    assert location.search(cities, "", ["city"], 0.0).count() == 3  # empty term: no text filter
+    by_cost = [r.city for r in location.sort_cities(cities, "avg_cost").collect()]
+    assert by_cost == ["Pune", "Delhi", "New Delhi"]
+    with pytest.raises(ValueError):
+        location.sort_cities(cities, "name")
+
+
+def test_class_distribution_and_numeric_ranges(spark):
+    df = venues_of(spark, [v(1, "X", cuisines="Thai, A", votes=3), v(2, "X", cuisines=None, votes=4),
+                           v(3, "X", cuisines="Thai", votes=None)])
+    dist = {r.main_cuisine: (r["count"], r.share) for r in profile.class_distribution(df).collect()}
+    assert dist == {"Thai": (2, 2 / 3), "Unknown": (1, 1 / 3)}
+    ranges = {r.feature: r for r in profile.numeric_ranges(df, ["votes"]).collect()}
+    assert (ranges["votes"].min_value, ranges["votes"].max_value, ranges["votes"].avg_value) == (3, 4, 3)
