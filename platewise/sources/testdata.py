@@ -64,11 +64,16 @@ def venues(
         return spark.read.parquet(path)
 
 
+# Bump when the derivation (or anything saved under the same key) changes,
+# so tables written by older code are never read back.
+DERIVED_VERSION = 2
+
+
 def _source_key(sf_dir: str, city_gaps: bool) -> str:
-    """Name of the materialised table: the folder plus, for local folders,
-    size and modification time of the source files (a changed input gives a
-    new table)."""
-    parts = [sf_dir.rstrip("/"), str(city_gaps)]
+    """Name of the materialised table: code version and folder plus, for
+    local folders, size and modification time of the source files (a
+    changed input or derivation gives a new table)."""
+    parts = [f"v{DERIVED_VERSION}", sf_dir.rstrip("/"), str(city_gaps)]
     for name in ("orders", "customer", "nation", "lineitem", "part"):
         local = f"{sf_dir.rstrip('/')}/{name}.parquet"
         if os.path.exists(local):
