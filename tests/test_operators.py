@@ -224,3 +224,18 @@ def test_class_distribution_and_numeric_ranges(spark):
     assert dist == {"Thai": (2, 2 / 3), "Unknown": (1, 1 / 3)}
     ranges = {r.feature: r for r in profile.numeric_ranges(df, ["votes"]).collect()}
     assert (ranges["votes"].min_value, ranges["votes"].max_value, ranges["votes"].avg_value) == (3, 4, 3)
+
+
+def test_label_band_boundaries(spark):
+    from platewise.operators.cleaning import label_bands
+
+    df = spark.createDataFrame(
+        [(4.5, 1, 51, 80.0), (4.0, 4, 50, 60.0), (3.5, 0, 21, 40.0), (3.49, None, 20, 39.9)],
+        "rating double, price_range int, n long, score double",
+    )
+    rows = label_bands(df, "rating", "price_range", "n", "score").collect()
+    assert [r.rating_band for r in rows] == ["Excellent", "Good", "Average", "Below Average"]
+    assert [r.density_band for r in rows] == ["High", "Medium", "Medium", "Low"]
+    assert [r.score_band for r in rows] == ["green", "blue", "amber", "red"]
+    assert [r.price_label for r in rows][1:] == ["Very Expensive (₹₹₹₹)", "Unknown", "Unknown"]
+    assert [r.price_symbols for r in rows] == ["₹", "₹₹₹₹", "", ""]
