@@ -3,7 +3,9 @@ the same in DuckDB SQL."""
 
 from __future__ import annotations
 
-from platewise.llm import quality
+from pyspark.sql import functions as F
+
+from platewise.llm import quality, simhash
 from platewise.llm.common import table
 
 QUERIES = {}
@@ -15,6 +17,16 @@ def query(fn):
     return fn
 
 
+@query
+def op2_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     report = quality.quality_report(table(spark, sf_dir, "documents"))
