@@ -40,3 +40,21 @@ def space_words(text: Column) -> Column:
     return F.coalesce(
         F.array_remove(F.split(text, SPACES + "+"), ""), F.array().cast("array<string>")
     )
+
+
+def without(
+    docs: DataFrame,
+    gone: DataFrame,
+    id_col: str,
+    mark_col: str | None = None,
+    mark: Column | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that are not in the table ``gone(id_col[, mark_col])``,
+    null ids being equal; ``mark`` is computed from ``docs``.  ``gone`` is
+    broadcast if its counted rows are few, so that texts are not shuffled."""
+    gone = checkpointed(gone)
+    other = gone.select(F.struct(*[F.col(c) for c in gone.columns]).alias("gone_key"))
+    key = F.struct(F.col(f"`{id_col}`"), *([mark.alias(mark_col)] if mark is not None else []))
+    if other.count() * 64 <= BROADCAST_BYTES:
+        other = F.broadcast(other)
+    return docs.join(other, key == F.col("gone_key"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.llm import quality, simhash
+from platewise.llm import decontaminate, quality, simhash
 from platewise.llm.common import table
 
 QUERIES = {}
@@ -38,11 +38,11 @@ WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text,
            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
     FROM documents
-), at AS (
+), spot AS (
     SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d
 ), tri AS (
     SELECT doc_id, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3
-    FROM at WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+    FROM spot WINDOW p AS (PARTITION BY doc_id ORDER BY i)
 ), twice AS (
     SELECT doc_id, i FROM tri WHERE w3 IS NOT NULL
     QUALIFY count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1
@@ -69,3 +69,53 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             OR (n_dup_lines > 5 AND 10 * n_dup_lines > n_words)) AS kept
 FROM s
 """
+
+
+@query
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op7_decontaminate"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n,
+           array_to_string(list_slice(w, s, s + 9), ' ') AS win
+    FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win
+), spot AS (
+    SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win
+    FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(s) WHERE len(w) >= n
+), hit AS (SELECT doc_id, s, spot.n, item_id FROM spot JOIN win USING (n, win)
+), words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+           array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids
+    FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import checkpointed
+from platewise.llm.common import checkpointed, without
 from platewise.llm.components import connected_components
 
 # Distinct fingerprints of a cell up to which pairs are looked at.
@@ -183,4 +183,4 @@ def keep_one(
     stay), all columns as they are."""
     found = near_duplicates(docs, width, distance, text_col, id_col)
     gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, gone, id_col)
