@@ -5,13 +5,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.llm import decontaminate, quality, simhash
+from platewise.llm import decontaminate, quality, sentencepiece_codec, simhash, token_counts
 from platewise.llm.common import table
 
+# Where the vocabulary files of the public tokenizers are; never copied here.
+PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
+
 QUERIES = {}
 ORACLES = {}
 
 
+def tokenizer_file(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -71,6 +81,20 @@ FROM s
 """
 
 
+@query
+def op5_sentencepiece(spark, sf_dir):
+    found = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
+    return found.withColumnRenamed("id", "doc_id").withColumn(
+        "over_limit", F.col("n_tokens") > 2048
+    )
+
+
 @query
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(

@@ -169,7 +169,8 @@ def near_duplicates(
     known = values.join(component, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
-    return rows.join(known, "fp").select("id", "fp", "component_id")
+    # both sides are then plain exchanges, of which Spark can split a hot one
+    return rows.join(checkpointed(known), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(
