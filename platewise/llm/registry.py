@@ -5,7 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.llm import decontaminate, quality, sentencepiece_codec, simhash, token_counts
+from platewise.llm import (
+    decontaminate,
+    html_text,
+    licenses,
+    preferences,
+    quality,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    urls,
+)
 from platewise.llm.common import table
 
 # Where the vocabulary files of the public tokenizers are; never copied here.
@@ -27,6 +37,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op2_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
@@ -143,3 +159,97 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _listed(spans):
+    """Spans as text, like ``12-40,60-80``."""
+    return F.array_join(
+        F.transform(
+            spans, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))
+        ),
+        ",",
+    )
+
+
+@query
+def op4_preference_format(spark, sf_dir):
+    chats = preferences.numbered(preferences.turns(table(spark, sf_dir, "conversations")))
+    pairs = preferences.pairs_by_opening(chats).unionByName(preferences.pairs_by_answer(chats))
+    found = preferences.format_pairs(pairs)
+    return found.withColumns(
+        {c: _listed(F.col(c)) for c in ("chosen_spans", "rejected_spans")}
+    )
+
+
+_SEGMENTS = """
+    list_transform({said}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text
+                                     || '<|im_end|>' || chr(10))"""
+_SPANS = """
+    array_to_string(list_transform(
+        list_filter(range(1, len({said}) + 1), lambda i: {said}[i].role = 'assistant'),
+        lambda i: (coalesce(list_sum(list_transform({said}[1:i - 1],
+                     lambda t: len(t.role) + len(t.text) + 24)), 0)
+                   + len({said}[i].role) + 13)::BIGINT::VARCHAR || '-' ||
+                  list_sum(list_transform({said}[1:i],
+                     lambda t: len(t.role) + len(t.text) + 24))::BIGINT::VARCHAR), ',')"""
+
+ORACLES["op4_preference_format"] = f"""
+WITH turns AS (
+    SELECT conv_id, turn, min({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}) AS t
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), chats AS (
+    SELECT conv_id, list(t ORDER BY turn) AS said FROM turns GROUP BY conv_id
+), answered AS (
+    SELECT *, list_max(list_filter(range(1, len(said) + 1),
+                                   lambda i: said[i].role = 'assistant')) AS k
+    FROM chats WHERE k IS NOT NULL
+), groups AS (
+    SELECT said[1] AS opening, min(conv_id) AS chosen_id FROM chats GROUP BY said[1]
+), pairs AS (
+    SELECT chosen_id, r.conv_id AS rejected_id, c.said AS a, r.said AS b
+    FROM groups JOIN chats r ON r.said[1] = opening AND r.conv_id > chosen_id
+    JOIN chats c ON c.conv_id = chosen_id
+    UNION ALL
+    SELECT r.conv_id, r.conv_id, r.said[1:r.k], r.said[1:r.k - 1] || [o.said[o.k]]
+    FROM answered r JOIN answered o ON o.conv_id = xor(r.conv_id, 1)
+), cut AS (
+    SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1),
+                                            lambda i: a[i] <> b[i])) - 1,
+                       least(len(a), len(b)))::BIGINT AS n_common
+    FROM pairs
+), parts AS (
+    SELECT chosen_id, rejected_id, n_common, a[1:n_common] AS p,
+           a[n_common + 1:] AS x, b[n_common + 1:] AS y FROM cut
+)
+SELECT chosen_id, rejected_id, n_common,
+       array_to_string({_SEGMENTS.format(said="p")}, '') AS prompt,
+       array_to_string({_SEGMENTS.format(said="x")}, '') AS chosen,
+       array_to_string({_SEGMENTS.format(said="y")}, '') AS rejected,
+       {_SPANS.format(said="x")} AS chosen_spans,
+       {_SPANS.format(said="y")} AS rejected_spans
+FROM parts
+"""
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # a page renders the document whose id its path ends in
+    page_doc = pages.select("page_id", F.expr(PAGE_DOC).alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    known = page_doc.join(labels, "doc_id").groupBy(F.col("page_id").alias("id")).agg(
+        F.max("bad").alias("bad")
+    )
+    found = urls.url_verdicts(pages, known)
+    return found.withColumnRenamed("id", "page_id").drop("template", "branch")
+
+
+PAGE_DOC = r"try_cast(regexp_extract(url, '/([0-9]+)[^0-9/?#]*([?#].*)?$', 1) AS BIGINT)"
+
+
+@query
+def op9_html_text(spark, sf_dir):
+    found = html_text.visible_text(table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("id", "page_id")
