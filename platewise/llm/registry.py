@@ -11,6 +11,7 @@ from platewise.llm import (
     licenses,
     preferences,
     quality,
+    repeats,
     sentencepiece_codec,
     simhash,
     token_counts,
@@ -111,6 +112,21 @@ def op10_token_counts(spark, sf_dir):
     )
 
 
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    found = repeats.removals(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"])
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 @query
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(
