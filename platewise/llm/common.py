@@ -57,4 +57,11 @@ def without(
     key = F.struct(F.col(f"`{id_col}`"), *([mark.alias(mark_col)] if mark is not None else []))
     if other.count() * 64 <= BROADCAST_BYTES:
         other = F.broadcast(other)
-    return docs.join(other, key == F.col("gone_key"), "left_anti")
+    rows = packed(docs, key.alias("doc_key"))
+    return rows.join(other, F.col("doc_key") == F.col("gone_key"), "left_anti").select("row.*")
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` in the struct ``row``, so that no name clashes
+    with the columns of ``more``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)

@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import space_words
+from platewise.llm.common import packed, space_words
 
 # Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 400
@@ -85,7 +85,7 @@ def _with_repeats(df: DataFrame, width: int = 3) -> DataFrame:
     def prefix(x: Column) -> Column:
         return F.call_function("shiftright", x, F.col("q_bits"))
 
-    packed = F.transform(
+    keyed = F.transform(
         "q_hash",
         lambda h, i: F.call_function("shiftleft", prefix(h), F.col("q_bits")).bitwiseOR(
             i.cast("bigint")
@@ -93,7 +93,7 @@ def _with_repeats(df: DataFrame, width: int = 3) -> DataFrame:
     )
     none = F.array().cast("array<bigint>")
     some = F.size(F.array_distinct("q_hash")) < F.size("q_hash")
-    df = df.withColumn("q_sorted", F.when(some, F.sort_array(packed)).otherwise(none))
+    df = df.withColumn("q_sorted", F.when(some, F.sort_array(keyed)).otherwise(none))
 
     # each sorted value beside the next: equal prefixes mark both
     pairs = F.filter(
@@ -217,11 +217,10 @@ def quality_filter(
     from copying the signal expressions into the filters.
     """
     ordered = plan_cascade(docs, rules, text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
-    packed = packed.withColumn("q_text", F.col(f"q_row.`{text_col}`"))
-    packed = packed.withColumn("q_words", space_words(F.col("q_text")))
+    left = packed(docs, F.col(text_col).alias("q_text"))
+    left = left.withColumn("q_words", space_words(F.col("q_text")))
     for rule in ordered:
-        judged = _add_signals(packed, rule.signals())
+        judged = _add_signals(left, rule.signals())
         bad = F.explode(F.array(F.expr(rule.rejects)))
-        packed = judged.select("q_row", "q_text", "q_words", bad.alias("q_bad")).where("NOT q_bad")
-    return packed.select("q_row.*")
+        left = judged.select("row", "q_text", "q_words", bad.alias("q_bad")).where("NOT q_bad")
+    return left.select("row.*")

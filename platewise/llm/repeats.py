@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import checkpointed
+from platewise.llm.common import checkpointed, packed
 from platewise.llm.suffixes import suffix_array
 
 LENGTH = 50
@@ -514,26 +514,28 @@ def without_repeats(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(raw).alias("mark"),
     )
-    names = docs.columns
+    fields = docs.schema.fields
 
     @F.pandas_udf("string")
     def edited(text, found):
         import pandas as pd
 
-        return pd.Series(
-            [
-                _kept(t.encode(), _merged((s["start"], s["end"]) for s in f)).decode("utf-8", "ignore")
-                for t, f in zip(text, found)
-            ]
-        )
-
-    rows = docs.join(spans, key == F.col("repeat_key"), "left")
-    hit = rows.where("repeat_spans IS NOT NULL")
-    changed = hit.withColumn(text_col, edited(F.col(text_col), F.col("repeat_spans")))
-    if length_col in names:
-        changed = changed.withColumn(
-            length_col, F.length(F.col(text_col)).cast(docs.schema[length_col].dataType)
-        )
-    columns = [F.col(f"`{c}`") for c in names]
-    same = rows.where("repeat_spans IS NULL")
-    return same.select(*columns).unionByName(changed.select(*columns))
+        kept = []
+        for t, spans in zip(text, found):
+            cut = _merged((s["start"], s["end"]) for s in spans)
+            kept.append(_kept(t.encode(), cut).decode("utf-8", "ignore"))
+        return pd.Series(kept, dtype=object)
+
+    rows = packed(docs, key.alias("doc_key"))
+    rows = rows.join(spans, F.col("doc_key") == F.col("repeat_key"), "left")
+    same = rows.where("repeat_spans IS NULL").select("row.*")
+    hit = rows.where("repeat_spans IS NOT NULL").select(
+        "row", edited(F.col(f"row.`{text_col}`"), F.col("repeat_spans")).alias("text")
+    )
+    columns = [F.col(f"row.`{f.name}`") for f in fields]
+    for i, f in enumerate(fields):
+        if f.name == text_col:
+            columns[i] = F.col("text").alias(f.name)
+        elif f.name == length_col:
+            columns[i] = F.length("text").cast(f.dataType).alias(f.name)
+    return same.unionByName(hit.select(*columns))
