@@ -1,32 +1,17 @@
-"""Helpers shared by the operators: null rules per task, mode, bounded
-broadcast and a distributed sorted index."""
+"""Helpers shared by the operators: null rules per task, mode and a
+distributed sorted index."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import to_number
 from platewise.session import checkpoint_dir
 from platewise.schema import UNKNOWN
 
-# Largest table that is broadcast after its size was checked (rows).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most
-    ``max_rows`` rows; otherwise leave the join strategy to Spark/AQE.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap when the
-    table is large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def location_rules(venues: DataFrame) -> DataFrame:
     """Null rules of the location task: city/locality -> 'Unknown', rating and
     cost parsed tolerantly with missing -> 0, coordinates parsed (bad -> null)."""
@@ -76,11 +61,6 @@ def mode_by(
     )
 
 
-def first_by_order(value: Column, *order: Column) -> Column:
-    """Aggregate: ``value`` of the row with the smallest ``order`` tuple."""
-    return F.min_by(value, F.struct(*order))
-
-
 def sorted_codes(values: DataFrame, value: str, code: str = "code") -> DataFrame:
     """Position (0-based) of each distinct non-null ``value`` in sorted order.
 

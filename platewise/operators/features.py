@@ -17,23 +17,30 @@ from platewise.operators.common import sorted_codes
 from platewise.schema import UNKNOWN
 
 SEED = 42
-# Plain split: the first two hex digits of the row hash below this value
-# form the test part (0x33 / 0x100 = 51/256, about 20 %).
-PLAIN_TEST_BELOW = "33"
+# Plain split: the first eight hex digits of the row hash below this value
+# form the test part (a fifth of 2^32).
+PLAIN_TEST_BELOW = "33333333"
 
 
 def label_codes(df: DataFrame, columns: Sequence[str], missing: str = UNKNOWN) -> DataFrame:
     """K1: codes 0.. of each column's distinct values in sorted order, with
     missing values read as ``missing``.  Long form ``(feature, value, code)``.
-    Each column's codes come from a distributed sorted index."""
-    parts = []
-    for c in columns:
-        values = df.select(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value"))
-        parts.append(sorted_codes(values, "value").select(F.lit(c).alias("feature"), "value", "code"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    All columns share one distributed sorted index over (feature, value);
+    a feature's codes are its positions from its first one."""
+    filled = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value"),
+        )
+        for c in columns
+    ]
+    pairs = df.select(F.explode(F.array(*filled)).alias("pair"))
+    codes = sorted_codes(pairs, "pair", "position").select("pair.*", "position")
+    first = codes.groupBy("feature").agg(F.min("position").alias("first"))
+    # one row per feature
+    return codes.join(F.broadcast(first), "feature").select(
+        "feature", "value", (F.col("position") - F.col("first")).alias("code")
+    )
 
 
 def encode(
@@ -84,7 +91,7 @@ def row_hash(id_col: str, seed: int = SEED) -> Column:
 def split_plain(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     """K3 (plain): ``split`` = 'test' for about 20 % of rows, by row hash.
     A pure projection, independent of partitioning."""
-    is_test = F.substring(row_hash(id_col, seed), 1, 2) < F.lit(PLAIN_TEST_BELOW)
+    is_test = F.substring(row_hash(id_col, seed), 1, 8) < F.lit(PLAIN_TEST_BELOW)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
@@ -96,9 +103,9 @@ def split_stratified(
 
     Exact without sorting a whole class in one task: rows are counted per
     (class, first 4 hex digits of the hash), i.e. at most 65,536 buckets per
-    class; running sums over that small histogram put whole buckets into
-    test or train, and only the one bucket per class that straddles the
-    cut is ranked row by row.
+    class; running sums over that small histogram give the rows of a class
+    before each bucket, and rows are ranked inside their bucket only.  Rows
+    without a label form a class of their own.
     """
     h = row_hash(id_col, seed)
     keyed = df.withColumns({"_h": h, "_b": F.substring(h, 1, 4)})
@@ -108,31 +115,17 @@ def split_stratified(
     )
     whole = Window.partitionBy(label_col)
     marks = hist.select(
-        label_col,
-        "_b",
+        F.col(label_col).alias("_label"),
+        F.col("_b").alias("_bucket"),
         (F.sum("_c").over(running) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(running).alias("_upto"),
         F.round(F.sum("_c").over(whole) * test_fraction).cast("bigint").alias("_m"),
-    ).select(
-        label_col,
-        "_b",
-        "_before",
-        "_m",
-        F.when(F.col("_upto") <= F.col("_m"), "test")
-        .when(F.col("_before") >= F.col("_m"), "train")
-        .otherwise("cut")
-        .alias("_kind"),
     )
-    rows = keyed.join(marks, [label_col, "_b"])
-    decided = rows.where(F.col("_kind") != "cut").withColumn("split", F.col("_kind"))
-    cut = rows.where(F.col("_kind") == "cut")
     pos = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col))
-    cut = cut.withColumn(
-        "split",
-        F.when(F.col("_before") + pos <= F.col("_m"), "test").otherwise("train"),
-    )
-    helper = ["_h", "_b", "_before", "_m", "_kind"]
-    return decided.drop(*helper).unionByName(cut.drop(*helper))
+    ranked = keyed.withColumn("_pos", pos)
+    same = F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bucket"))
+    test = F.col("_before") + F.col("_pos") <= F.col("_m")
+    rows = ranked.join(marks, same).withColumn("split", F.when(test, "test").otherwise("train"))
+    return rows.drop("_h", "_b", "_pos", "_label", "_bucket", "_before", "_m")
 
 
 def top_classes(venues: DataFrame, k: int = 10) -> DataFrame:

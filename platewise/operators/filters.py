@@ -1,33 +1,46 @@
-"""Recommendation filters (C1-C6), single request form.
+"""Recommendation filters.
 
-The batch form, one plan for a table of requests, lives in
-``platewise.operators.similarity.recommend``; both use the conditions here.
+``filter_venues`` is the single request form.  The batch form, one plan for a
+table of requests, is ``platewise.operators.similarity.recommend``: it joins
+on the same values, made by the functions here.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise.operators.common import recommendation_rules
 
 
-def city_matches(city: Column, wanted: Column) -> Column:
-    """Equal ignoring case."""
-    return F.lower(city) == F.lower(wanted)
+def yes_no(flag: Column) -> Column:
+    """True -> 'yes', false -> 'no', null -> null."""
+    return F.when(flag, F.lit("yes")).when(~flag, F.lit("no"))
+
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def matched_patterns(texts, patterns):
+    """C2 for a batch: the patterns that occur in each text, ignoring case.
+    A pattern that is not a valid regular expression matches nothing, so it
+    affects only its own request.  Meant for distinct texts."""
+    import pandas as pd
 
-def cuisine_matches(cuisines: Column, pattern: Column, literal: bool = False) -> Column:
-    """The pattern occurs in the cuisines, ignoring case.  The pattern is
-    a regular expression, as in the reference; ``literal`` makes it text."""
-    if literal:
-        return F.contains(F.lower(cuisines), F.lower(pattern))
-    return F.rlike(cuisines, F.concat(F.lit("(?i)"), pattern))
+    known: dict[str, re.Pattern | None] = {}
 
+    def matches(pattern: str, text: str) -> bool:
+        if pattern not in known:
+            try:
+                known[pattern] = re.compile(pattern, re.IGNORECASE)
+            except re.error:
+                known[pattern] = None
+        compiled = known[pattern]
+        return compiled is not None and compiled.search(text) is not None
 
-def yes_no_matches(column: Column, wanted: Column) -> Column:
-    """A boolean wish against a 'Yes'/'No' column."""
-    return F.lower(column) == F.when(wanted, F.lit("yes")).otherwise(F.lit("no"))
+    found = [[p for p in ps if matches(p, t)] for t, ps in zip(texts, patterns)]
+    return pd.Series(found, index=texts.index, dtype=object)
 
 
 def filter_venues(
@@ -40,21 +53,21 @@ def filter_venues(
     literal: bool = False,
 ) -> DataFrame:
     """Venues (recommender null rule) that pass every given filter; an
-    empty or missing value means no filter.  Conditions are plain column
-    predicates, so Catalyst pushes them down to the scan where it can."""
+    empty or missing value means no filter.  The cuisine is a regular
+    expression unless ``literal``.  Conditions are plain column predicates,
+    so Catalyst pushes them down to the scan where it can."""
     rec = recommendation_rules(venues)
     cond = F.lit(True)
     if city:
-        cond = cond & city_matches(F.col("city"), F.lit(city))
-    if cuisine:
-        if literal:
-            cond = cond & F.contains(F.lower("cuisines"), F.lower(F.lit(cuisine)))
-        else:
-            cond = cond & F.col("cuisines").rlike("(?i)" + cuisine)
+        cond = cond & (F.lower("city") == F.lower(F.lit(city)))
+    if cuisine and literal:
+        cond = cond & F.contains(F.lower("cuisines"), F.lower(F.lit(cuisine)))
+    elif cuisine:
+        cond = cond & F.col("cuisines").rlike("(?iu)" + cuisine)
     if price_range is not None:
         cond = cond & (F.col("price_range") == F.lit(int(price_range)))
     if table_booking is not None:
-        cond = cond & yes_no_matches(F.col("has_table_booking"), F.lit(bool(table_booking)))
+        cond = cond & (F.lower("has_table_booking") == yes_no(F.lit(bool(table_booking))))
     if online_delivery is not None:
-        cond = cond & yes_no_matches(F.col("has_online_delivery"), F.lit(bool(online_delivery)))
+        cond = cond & (F.lower("has_online_delivery") == yes_no(F.lit(bool(online_delivery))))
     return rec.where(cond)

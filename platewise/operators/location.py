@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import main_cuisine, yes_no_flag
-from platewise.operators.common import bounded_broadcast, location_rules, mode_by
+from platewise.operators.common import location_rules, mode_by
 from platewise.schema import NOT_AVAILABLE, UNKNOWN
 
 def known_city():
@@ -158,9 +158,7 @@ def locality_stats(venues: DataFrame, cities: DataFrame | str, n: int = 15) -> D
     if isinstance(cities, str):
         cities = spark.createDataFrame([(cities,)], "city string")
     requests = cities.select(F.col("city").alias("requested_city")).distinct()
-    requests = bounded_broadcast(
-        requests.withColumn("_key", F.lower("requested_city"))
-    )
+    requests = requests.withColumn("_key", F.lower("requested_city"))
     loc = location_rules(venues)
     rows = loc.join(requests, F.lower(loc.city) == requests._key).select(
         "requested_city", "locality", "city", "price_range", "rating"

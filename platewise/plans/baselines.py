@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from platewise.operators.common import mode_by
 from platewise.operators.features import split_plain, split_stratified, top_classes
 from platewise.schema import UNKNOWN
-from platewise.session import checkpoint_dir
 
 
 def rating_rows(venues: DataFrame) -> DataFrame:
@@ -39,18 +38,15 @@ def rating_baseline(venues: DataFrame) -> DataFrame:
 
 
 def cuisine_rows(venues: DataFrame, k: int = 10) -> DataFrame:
-    """Classification rows: top-k main cuisines, stratified split.
-
-    The split assignment feeds several branches (training modes, the
-    overall mode, the scored rows), so it is checkpointed once to the
-    reliable checkpoint folder instead of being re-derived in each."""
+    """Classification rows: top-k main cuisines, stratified split.  The
+    branches that use it (training modes, the overall mode, the scored rows)
+    have the same plan below, so they share its exchanges."""
     rows = top_classes(venues, k).select(
         "venue_id",
         F.coalesce(F.col("locality"), F.lit(UNKNOWN)).alias("locality"),
         F.col("main_cuisine").alias("label"),
     )
-    checkpoint_dir(venues.sparkSession)
-    return split_stratified(rows, "venue_id", "label").checkpoint(eager=True)
+    return split_stratified(rows, "venue_id", "label")
 
 
 def cuisine_baseline(venues: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ and rankings break ties by the smallest value / name.
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 # Venue view of FIXTURES.md §2, with 'city' blanked for ids divisible by 23.
 # ``nat`` is scanned once (materialised): DuckDB 2.0 fails with an internal
@@ -344,7 +345,7 @@ FROM v
 """)
 
 ORACLES["label_bands"] = with_venues("""
-lc AS (SELECT locality, count(*) AS locality_count FROM loc GROUP BY locality)
+lc AS (SELECT city, locality, count(*) AS locality_count FROM loc GROUP BY city, locality)
 SELECT venue_id, rating, price_range, lc.locality_count, round(rating * 20, 6) AS score,
        CASE WHEN rating >= 4.5 THEN 'Excellent' WHEN rating >= 4.0 THEN 'Good'
             WHEN rating >= 3.5 THEN 'Average' ELSE 'Below Average' END AS rating_band,
@@ -356,7 +357,7 @@ SELECT venue_id, rating, price_range, lc.locality_count, round(rating * 20, 6) A
             ELSE 'Low' END AS density_band,
        CASE WHEN rating * 20 >= 80 THEN 'green' WHEN rating * 20 >= 60 THEN 'blue'
             WHEN rating * 20 >= 40 THEN 'amber' ELSE 'red' END AS score_band
-FROM loc JOIN lc USING (locality)
+FROM loc JOIN lc USING (city, locality)
 """)
 
 # ---- text similarity and recommendation ------------------------------------
@@ -601,11 +602,17 @@ ORACLES["recommend_batch"] = recommend_oracle(_batch_requests_sql())
 
 # ---- keyword classification of pages ----------------------------------------
 
+_NAMED = ", ".join(
+    f"'{name}': chr({code})" for name, code in [*name2codepoint.items(), ("apos", 39)]
+)
+_NAME = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+_CODE = f"""(CASE WHEN {_NAME}[2:2] IN ('x', 'X') THEN try_cast('0x' || {_NAME}[3:] AS BIGINT)
+              ELSE try_cast({_NAME}[2:] AS BIGINT) END)"""
 PAGE_TEXT = r"""
 pt AS (
     SELECT page_id,
            trim(regexp_replace(
-               replace(replace(replace(replace(replace(
+               array_to_string(list_transform(string_split(
                    regexp_replace(
                        regexp_replace(
                            regexp_replace(
@@ -614,12 +621,16 @@ pt AS (
                                    ' ', 'g'),
                                '(?s)<!--.*?-->', ' ', 'g'),
                            '(?i)<!doctype[^>]*>', ' ', 'g'),
-                       '</?[A-Za-z!?][^>]*>', ' ', 'g'),
-                   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
-               '[ \t\n\r\f\x0B]+', ' ', 'g')) AS text
+                       '</?[A-Za-z!?][^>]*>', ' ', 'g'), '&'),
+                   lambda p, i: CASE WHEN i = 1 THEN p ELSE coalesce(
+                       (CASE WHEN @NAME = '' THEN NULL
+                             WHEN @NAME[1:1] <> '#' THEN MAP {@NAMED}[@NAME]
+                             WHEN @CODE BETWEEN 1 AND 55295 OR @CODE BETWEEN 57344 AND 1114111
+                             THEN chr(@CODE::INTEGER) END) || p[len(@NAME) + 2:], '&' || p) END), ''),
+               '[ \t\n\r\f\x0B\x{A0}]+', ' ', 'g')) AS text
     FROM pages
 )
-"""
+""".replace("@NAMED", _NAMED).replace("@NAME", _NAME).replace("@CODE", _CODE)
 
 ORACLES["page_text"] = inline_ctes("WITH " + PAGE_TEXT.strip() + "\nSELECT page_id, text FROM pt")
 
@@ -674,7 +685,7 @@ rr AS (
            coalesce(city, 'Unknown') AS city,
            coalesce(cuisines, 'Unknown') AS cuisines,
            coalesce(rest_type, 'Unknown') AS rest_type,
-           CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 2) < '33'
+           CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 8) < '33333333'
                 THEN 'test' ELSE 'train' END AS split
     FROM v WHERE rating IS NOT NULL
 )
@@ -731,7 +742,7 @@ LEFT JOIN codes c3 ON c3.feature = 'rest_type' AND c3.value = q.rest_type
 
 ORACLES["split_plain"] = with_venues("""
 SELECT venue_id,
-       CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 2) < '33'
+       CASE WHEN substr(md5(CAST(venue_id AS VARCHAR) || '42'), 1, 8) < '33333333'
             THEN 'test' ELSE 'train' END AS split
 FROM v
 """)

@@ -183,8 +183,10 @@ def _label_bands(spark, sf_dir):
     from platewise.operators.common import location_rules
 
     loc = location_rules(venues(spark, sf_dir))
-    per_locality = loc.groupBy("locality").agg(F.count(F.lit(1)).alias("locality_count"))
-    rows = loc.join(per_locality, "locality").select(
+    # the density of a locality is judged within its city
+    keys = ["city", "locality"]
+    per_locality = loc.groupBy(*keys).agg(F.count(F.lit(1)).alias("locality_count"))
+    rows = loc.join(per_locality, keys).select(
         "venue_id", "rating", "price_range", "locality_count",
         (F.col("rating") * 20).alias("score"),
     )
@@ -225,20 +227,8 @@ def batch_requests(spark, sf_dir):
 
 
 def recommender(spark, sf_dir):
-    """The fitted recommender of a folder: fitted once, saved under the
-    checkpoint folder and loaded afterwards (the reference also fits once,
-    saves its vectoriser and matrix and loads them for serving)."""
-    from platewise.session import checkpoint_dir
-    from platewise.sources.testdata import _source_key
-
-    path = f"{checkpoint_dir(spark).rstrip('/')}/recommender/{_source_key(sf_dir, True)}"
-    try:
-        return similarity.Recommender.load(spark, path)
-    except Exception:  # noqa: BLE001 - not saved yet (or an incomplete save)
-        state = similarity.fit_recommender(venues(spark, sf_dir))
-        state.save(path)
-        state.release()
-        return similarity.Recommender.load(spark, path)
+    """The recommender fitted on a folder, as a plan over its tables."""
+    return similarity.fit_recommender(venues(spark, sf_dir))
 
 
 @register("token_counts_documents")

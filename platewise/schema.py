@@ -46,7 +46,10 @@ SOURCE_COLUMNS = {
 UNKNOWN = "Unknown"
 NOT_AVAILABLE = "N/A"
 # Text markers that a pandas CSV reader treats as missing by default.
-MISSING_MARKERS = ["", "NA", "N/A", "NULL", "null", "NaN", "nan", "None", "n/a", "<NA>", "#N/A"]
+MISSING_MARKERS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 # Price range labels 1..4.
 PRICE_LABELS = {
     1: "Budget (₹)",

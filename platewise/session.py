@@ -20,6 +20,7 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -50,12 +51,15 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of the session.
 
-    On a cluster it is the shared folder named by ``spark.checkpoint.dir``;
-    only when that is unset (local tests) a scratch folder is created.
+    It is the shared folder named by ``spark.checkpoint.dir``.  Only a local
+    session, where driver and executors are one process, gets a scratch
+    folder if that is unset; a cluster without it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="platewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)

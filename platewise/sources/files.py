@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from platewise.operators.cleaning import rename_columns
 from platewise.schema import MISSING_MARKERS, SOURCE_COLUMNS, VENUE_SCHEMA
@@ -20,13 +21,15 @@ def read_venues(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
     Source columns are renamed to canonical names; absent canonical
     columns are added as nulls; the pandas default missing markers ('NA',
-    'N/A', 'null', 'NaN', 'None', ...) become null.  Without a
-    'Restaurant ID' column, ``venue_id`` is the row's position in file order
-    within the read (partition index and row number), which is stable for a
-    given file.
+    'N/A', 'null', 'NaN', 'None', ...) become null.  Quotes inside quoted
+    fields are doubled, and a quoted field may hold line breaks.  Without a
+    'Restaurant ID' column, ``venue_id`` (partition index and row number) holds
+    for one run only: save the table if ids have to stay.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = spark.read.csv(
+            path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+        )
     else:
         raw = spark.read.format(fmt).load(path)
     df = rename_columns(raw, SOURCE_COLUMNS)
@@ -44,7 +47,13 @@ def read_venues(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         if fmt == "csv":
             text = F.trim(value.cast("string"))
             value = F.when(F.array_contains(markers, text), F.lit(None)).otherwise(value)
-        cols.append(value.try_cast(field.dataType).alias(name))
+        typed = value.try_cast(field.dataType)
+        if isinstance(field.dataType, IntegralType):
+            # whole numbers are also written like 2.0
+            number = value.try_cast("double")
+            whole = F.when(number == F.floor(number), number).try_cast(field.dataType)
+            typed = F.coalesce(typed, whole)
+        cols.append(typed.alias(name))
     return df.select(*cols)
 
 

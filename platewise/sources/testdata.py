@@ -13,9 +13,6 @@ shuffles ``orders``.  ``nation`` (25 rows) is broadcast by size.
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,50 +37,9 @@ def _price_range(priority: Column) -> Column:
     )
 
 
-def venues(
-    spark: SparkSession, sf_dir: str, city_gaps: bool = True, materialize: bool = True
-) -> DataFrame:
-    """The venue table V.
-
-    Derived once per table folder and written as parquet under the
-    session's checkpoint folder (shared storage on a cluster); later calls
-    scan that table, so every query gets column pruning and filter pushdown
-    on it instead of re-running the joins.  This is the Spark form of the
-    reference's load-once data set.  ``materialize=False`` returns the
-    derivation itself.
-    """
-    if not materialize:
-        return build_venues(spark, sf_dir, city_gaps)
-    from platewise.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(spark).rstrip('/')}/venue_table/{_source_key(sf_dir, city_gaps)}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not built yet (or an incomplete build)
-        build_venues(spark, sf_dir, city_gaps).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-
-# Bump when the derivation (or anything saved under the same key) changes,
-# so tables written by older code are never read back.
-DERIVED_VERSION = 2
-
-
-def _source_key(sf_dir: str, city_gaps: bool) -> str:
-    """Name of the materialised table: code version and folder plus, for
-    local folders, size and modification time of the source files (a
-    changed input or derivation gives a new table)."""
-    parts = [f"v{DERIVED_VERSION}", sf_dir.rstrip("/"), str(city_gaps)]
-    for name in ("orders", "customer", "nation", "lineitem", "part"):
-        local = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        if os.path.exists(local):
-            st = os.stat(local)
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
-
-
-def build_venues(spark: SparkSession, sf_dir: str, city_gaps: bool = True) -> DataFrame:
-    """Derivation of V from the TPC-H-like tables.
+def venues(spark: SparkSession, sf_dir: str, city_gaps: bool = True) -> DataFrame:
+    """The venue table V, derived from the TPC-H-like tables in the plan of
+    every query that reads it (nothing is stored).
 
     ``city_gaps`` blanks ``city`` for every venue id divisible by 23, so the
     'Unknown' rules of the operators have rows to act on.

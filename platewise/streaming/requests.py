@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from platewise.operators.similarity import REQUEST_SCHEMA, fit_recommender, recommend
+from platewise.operators.similarity import REQUEST_SCHEMA, Recommender, fit_recommender, recommend
 
 
 def stream_requests(
@@ -48,11 +48,12 @@ def stream_recommendations(
     checkpoint: str,
     top_n: int = 10,
     available_now: bool = False,
-) -> StreamingQuery:
+) -> tuple[StreamingQuery, Recommender]:
     """Recommendation requests (``REQUEST_SCHEMA``) as a stream.  The
-    recommender is fitted once; every micro-batch is scored against it."""
-    state = fit_recommender(venues)
-    return stream_requests(
+    recommender is fitted once; every micro-batch is scored against it.
+    Returns the query and the fitted state, to ``release`` when it ends."""
+    state = fit_recommender(venues).persist()
+    query = stream_requests(
         spark,
         source_dir,
         REQUEST_SCHEMA,
@@ -61,3 +62,4 @@ def stream_recommendations(
         checkpoint,
         available_now=available_now,
     )
+    return query, state
