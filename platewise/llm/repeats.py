@@ -51,7 +51,7 @@ from platewise.llm.suffixes import suffix_array
 LENGTH = 50
 GRAM = 20
 # Bytes of text whose segments a bucket holds on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 # Different strings of a class that are ordered together.
 HOT_CLASS = 1500
 # Bytes of strings per suffix array; a class is never cut.
@@ -64,7 +64,15 @@ _PLACE_BITS = np.uint64(23)
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-SEGMENT = np.dtype([("gram", "<u8"), ("string", "<u8"), ("at", "<u4"), ("more", "u1")])
+# A segment in the shuffle: 32 bits of the anchor hash beside the bucket's, 48
+# of the string hash, the first window in two halves (the upper ones compress
+# to nothing), further windows, the anchor's offset.
+SEGMENT = np.dtype(
+    [
+        ("gram", "<u4"), ("string", "<u4"), ("string2", "<u2"), ("at", "<u2"), ("at2", "<u2"),
+        ("more", "u1"), ("anchor", "u1"),
+    ]
+)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -80,7 +88,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers, inverse):
     """Segments of the texts ``data[starts:ends]`` of one block: anchor hash,
-    string hash, text number, first window and number of further windows."""
+    string hash, text number, first window, number of further windows and the
+    anchor's offset from the first window."""
     n = len(data)
     h = _BYTES[data]
     width, rest, made = 1, 0, {}
@@ -126,13 +135,14 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers, inv
     np.cumsum(_BYTES[data] * powers[:n], dtype=np.uint64, out=total[1:])
     string = _mixed((total[b + LENGTH] - total[a]) * inverse[a])
     text = np.searchsorted(starts, a, "right") - 1
-    return h[chosen[a]], string, text, a - starts[text], b - a
+    return h[chosen[a]], string, text, a - starts[text], b - a, chosen[a] - a
 
 
 def deal(batches, buckets: int):
     """Packed segments per block and bucket."""
     powers = inverse = None
-    bits = np.uint64(64 - (buckets.bit_length() - 1))
+    known = np.uint64(buckets.bit_length() - 1)  # bits that the bucket tells
+    bits = np.uint64(64) - known
 
     def pack(block):
         """``block``: (id, text hash, offset in the text, bytes)."""
@@ -144,14 +154,17 @@ def deal(batches, buckets: int):
             powers = _powers(_BASE, n)
             inverse = _powers(pow(_BASE, -1, 1 << 64), n)
         data = np.frombuffer(b"".join(x[3] for x in block), np.uint8)
-        gram, string, text, at, more = segments(data, ends - lengths, ends, powers, inverse)
+        gram, string, text, at, more, anchor = segments(data, ends - lengths, ends, powers, inverse)
         key = (gram >> bits) if buckets > 1 else np.zeros(len(gram), np.uint64)
         order = np.argsort(key, kind="stable")
         key, text = key[order], text[order]
         rows = np.empty(len(order), SEGMENT)
-        rows["gram"], rows["string"] = gram[order], string[order]
-        rows["at"] = at[order] + np.array([x[2] for x in block], np.int64)[text]
-        rows["more"] = more[order]
+        gram, string = gram[order], string[order]
+        at = at[order] + np.array([x[2] for x in block], np.int64)[text]
+        rows["gram"] = (gram << known) >> np.uint64(32)
+        rows["string"], rows["string2"] = string & np.uint64(0xFFFFFFFF), string >> np.uint64(48)
+        rows["at"], rows["at2"] = at & 0xFFFF, at >> 16
+        rows["more"], rows["anchor"] = more[order], anchor[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
         ids = np.array([x[0] for x in block], np.int64)
         marks = np.array([x[1] for x in block], np.int64)
@@ -198,7 +211,7 @@ def deal(batches, buckets: int):
 
 CLASS_ROWS = (
     "kind int, string long, class long, hot boolean, several boolean, "
-    "id long, mark long, at int, more int"
+    "id long, mark long, at int, more int, anchor int"
 )
 
 
@@ -207,7 +220,7 @@ def classes(batches):
     ask for their strings (kind 1: where a string occurs, kind 2: one
     occurrence of each string).  The rows of a partition come by bucket."""
 
-    def decide(parts):
+    def decide(bucket, parts):
         fields = {}
         sizes = [sum(np.frombuffer(p[3], np.uint32)) for p in parts]
         at = [0] * len(parts)
@@ -224,7 +237,6 @@ def classes(batches):
         marks = np.concatenate(
             [np.repeat(*(np.frombuffer(p[k], t) for k, t in ((2, np.int64), (3, np.uint32)))) for p in parts]
         )
-        # the rows of a text are in text order in ``deal``; restore it here
         gram = fields["gram"]
         order = np.argsort(gram, kind="stable")
         sorted_gram = gram[order]
@@ -238,11 +250,15 @@ def classes(batches):
         number = np.repeat(np.arange(len(cut)), size)[keep]
         first = np.repeat(least, size)[keep]
         order = order[keep]
-        string, more = fields["string"][order], fields["more"][order].astype(np.int32)
+        more, anchor = fields["more"][order].astype(np.int32), fields["anchor"][order]
         # the length belongs to the string
-        string = string * np.uint64(64) ^ more.astype(np.uint64) ^ (string >> np.uint64(58))
-        who, mark, spot = ids[order], marks[order], fields["at"][order].astype(np.int64)
-        key = gram[order]
+        string = fields["string"][order].astype(np.uint64) | (
+            fields["string2"][order].astype(np.uint64) << np.uint64(32)
+        )
+        string = string | (more.astype(np.uint64) << np.uint64(48))
+        who, mark = ids[order], marks[order]
+        spot = fields["at"][order].astype(np.int64) | (fields["at2"][order].astype(np.int64) << 16)
+        key = gram[order].astype(np.uint64) | np.uint64(bucket << 32)
 
         cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         size = np.diff(np.r_[cut, len(number)])
@@ -250,7 +266,9 @@ def classes(batches):
         one = np.repeat(one, size)
         sure = one & (who > first)
         zero = np.zeros(int(sure.sum()), np.int64)
-        yield _class_batch(0, zero, zero, False, False, who[sure], mark[sure], spot[sure], more[sure])
+        yield _class_batch(
+            0, zero, zero, False, False, who[sure], mark[sure], spot[sure], more[sure], anchor[sure]
+        )
 
         mixed = np.flatnonzero(~one)
         if not len(mixed):
@@ -259,6 +277,7 @@ def classes(batches):
         mixed = mixed[np.lexsort((who[mixed], string[mixed], number[mixed]))]
         number, string, who, first = number[mixed], string[mixed], who[mixed], first[mixed]
         mark, spot, more, key = mark[mixed], spot[mixed], more[mixed], key[mixed]
+        anchor = anchor[mixed]
         name = (_mixed(key) * _MIX[7] + string).view(np.int64)
         new = np.r_[True, (number[1:] != number[:-1]) | (string[1:] != string[:-1])]
         heads = np.flatnonzero(new)
@@ -268,11 +287,12 @@ def classes(batches):
         later = who > first  # the smallest document of a class never loses
         zero = np.zeros(int(later.sum()), np.int64)
         yield _class_batch(
-            1, name[later], zero, False, False, who[later], mark[later], spot[later], more[later]
+            1, name[later], zero, False, False, who[later], mark[later], spot[later], more[later],
+            anchor[later],
         )
         yield _class_batch(
             2, name[heads], key[heads].view(np.int64), hot, several,
-            who[heads], mark[heads], spot[heads], more[heads],
+            who[heads], mark[heads], spot[heads], more[heads], anchor[heads],
         )
 
     held, bucket = [], None
@@ -280,15 +300,15 @@ def classes(batches):
         number = batch.column(0).to_pylist()
         for i, n in enumerate(number):
             if n != bucket and held:
-                yield from decide(held)
+                yield from decide(bucket, held)
                 held = []
             bucket = n
             held.append([batch.column(k)[i].as_buffer() for k in range(1, 5)])
     if held:
-        yield from decide(held)
+        yield from decide(bucket, held)
 
 
-def _class_batch(kind, string, key, hot, several, ids, marks, at, more):
+def _class_batch(kind, string, key, hot, several, ids, marks, at, more, anchor):
     n = len(ids)
 
     def flag(x):
@@ -299,8 +319,9 @@ def _class_batch(kind, string, key, hot, several, ids, marks, at, more):
             pa.array(np.full(n, kind, np.int32)), pa.array(string), pa.array(key),
             flag(hot), flag(several), pa.array(ids), pa.array(marks),
             pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)),
+            pa.array(anchor.astype(np.int32)),
         ],
-        names=["kind", "string", "class", "hot", "several", "id", "mark", "at", "more"],
+        names=["kind", "string", "class", "hot", "several", "id", "mark", "at", "more", "anchor"],
     )
 
 
@@ -312,31 +333,36 @@ def order_strings(batches):
     runs of windows with the smallest document that has them."""
 
     def decide(rows):
-        names, owners, several, texts = zip(*rows)
-        body = b"".join(t + b"\0" for t in texts)
-        data = np.frombuffer(body, np.uint8)
+        """``rows``: (string, smallest id, several, text, anchor, class)."""
+        names, owners, several, texts, anchors, numbers = zip(*rows)
+        # The gram is the same throughout a class and no window starts behind
+        # its first byte, so one symbol per class stands for it.
+        data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(lengths + 1) - lengths - 1
         values = data.astype(np.int64) + 2
         values[begins + lengths] = 1  # below every byte, between strings
-        order = np.array(suffix_array([*values.tolist(), 0]), np.int64)
-
-        owner = np.full(len(data) + 1, -1, np.int64)
-        window = np.zeros(len(data) + 1, bool)
-        for i, (s, n) in enumerate(zip(begins.tolist(), lengths.tolist())):
-            owner[s : s + n] = i
-            window[s : s + n - LENGTH + 1] = True
-        order = order[window[order]]
+        gram = begins + np.array(anchors, np.int64)
+        values[gram] = np.array(numbers, np.int64) + 300
+        keep = np.ones(len(data), bool)
+        keep[(gram[:, None] + np.arange(1, GRAM)).ravel()] = False
+        source = np.flatnonzero(keep)
+        order = suffix_array([*values[source].tolist(), 0])
+        order = source[np.array(order[1:], np.int64)]
+
+        string = np.repeat(np.arange(len(texts)), lengths + 1)
+        window = order <= (begins + lengths - LENGTH)[string[order]]
+        order = order[window]
         seen = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
         differ = np.ones(len(order), bool)
         differ[1:] = (seen[order[1:]] != seen[order[:-1]]).any(axis=1)
         cut = np.flatnonzero(differ)
-        ids = np.array(owners, np.int64)[owner[order]]
+        ids = np.array(owners, np.int64)[string[order]]
         least = np.repeat(np.minimum.reduceat(ids, cut), np.diff(np.r_[cut, len(order)]))
 
         back = np.argsort(order)
         place, least = order[back], least[back]  # by text position again
-        string = owner[place]
+        string = string[place]
         own = np.array(owners, np.int64)[string]
         useful = (least < own) | np.array(several, bool)[string]
         place, least, string = place[useful], least[useful], string[useful]
@@ -349,27 +375,76 @@ def order_strings(batches):
         low = np.flatnonzero(new)
         high = np.r_[low[1:], len(place)] - 1
         base = begins[string[low]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.array(names, np.int64)[string[low]]),
-                pa.array((place[low] - base).astype(np.int32)),
-                pa.array((place[high] - base).astype(np.int32)),
-                pa.array(least[low]),
-            ],
-            names=["string", "low", "high", "first"],
+        yield _runs(
+            np.array(names, np.int64)[string[low]], place[low] - base, place[high] - base, least[low]
         )
 
-    rows, size, last = [], 0, None
+    batch_rows, alone, size, number = [], [], 0, 0
+    members, last = [], None
+
+    def close():
+        """Sort out a whole class."""
+        nonlocal size, number
+        shared = _may_share(members)
+        for row, ok in zip(members, shared):
+            if ok:
+                batch_rows.append((*row, number))
+                size += len(row[3]) - GRAM + 2
+            elif row[2]:  # its windows repeat only in equal strings
+                alone.append((row[0], len(row[3]) - LENGTH, row[1]))
+        number += 1
+
+    def flush():
+        nonlocal batch_rows, alone, size, number
+        if alone:
+            names, high, ids = (np.array(x, np.int64) for x in zip(*alone))
+            yield _runs(names, np.zeros(len(names)), high, ids)
+        if batch_rows:
+            yield from decide(batch_rows)
+        batch_rows, alone, size, number = [], [], 0, 0
+
     for batch in batches:
-        for key, name, owner, several, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != last and size >= BATCH_BYTES:
-                yield from decide(rows)
-                rows, size = [], 0
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != last and members:
+                close()
+                members.clear()
+                if size >= BATCH_BYTES or len(alone) >= 50_000:
+                    yield from flush()
             last = key
-            rows.append((name, owner, several, text))
-            size += len(text)
-    if rows:
-        yield from decide(rows)
+            members.append(tuple(row))
+    if members:
+        close()
+    yield from flush()
+
+
+def _may_share(members) -> list[bool]:
+    """Which strings of a class can have a window in common with another.
+
+    A common window reaches ``LENGTH - GRAM`` bytes beyond the gram in all, so
+    half of them on one side at least: a string whose halves on both sides
+    are its own shares nothing."""
+    half = (LENGTH - GRAM) // 2
+    left, right = {}, {}
+    sides = []
+    for _, _, _, text, anchor in members:
+        a = text[anchor - half : anchor] if anchor >= half else None
+        b = text[anchor + GRAM : anchor + GRAM + half]
+        b = b if len(b) == half else None
+        sides.append((a, b))
+        left[a] = left.get(a, 0) + 1
+        right[b] = right.get(b, 0) + 1
+    left[None] = right[None] = 0
+    return [left[a] > 1 or right[b] > 1 for a, b in sides]
+
+
+def _runs(names, low, high, first):
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
+            pa.array(first),
+        ],
+        names=["string", "low", "high", "first"],
+    )
 
 
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -390,7 +465,7 @@ def covered_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """``(id, mark, start, end)``: byte spans to remove, not yet merged."""
     texts = _texts(docs, text_col, id_col)
     buckets = _buckets(docs, text_col)
-    partitions = min(buckets, max(buckets // 8, 8))
+    partitions = max(buckets // 4, 1)
 
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
@@ -400,20 +475,22 @@ def covered_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     found = checkpointed(dealt.mapInArrow(classes, CLASS_ROWS))
 
     wanted = found.where("kind = 2").groupBy("id", "mark").agg(
-        F.collect_list(F.struct("string", "class", "hot", "several", "at", "more")).alias("asked")
+        F.collect_list(
+            F.struct("string", "class", "hot", "several", "at", "more", "anchor")
+        ).alias("asked")
     )
     cut = F.transform(
         "asked",
         lambda a: F.struct(
             a["string"].alias("string"), a["class"].alias("class"), a["hot"].alias("hot"),
-            a["several"].alias("several"),
+            a["several"].alias("several"), a["anchor"].alias("anchor"),
             F.substring(F.col("raw"), a["at"] + 1, a["more"] + LENGTH).alias("body"),
         ),
     )
     once = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"])
     strings = checkpointed(once.select("id", F.inline(cut)))
 
-    plain = strings.where("NOT hot").select("class", "string", "id", "several", "body")
+    plain = strings.where("NOT hot").select("class", "string", "id", "several", "body", "anchor")
     plain = plain.repartition("class").sortWithinPartitions("class")
     runs = plain.mapInArrow(order_strings, RUNS)
     runs = runs.unionByName(_hot_runs(strings.where("hot")))

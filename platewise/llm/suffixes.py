@@ -27,6 +27,7 @@ def suffix_array(values: list[int]) -> list[int]:
         place[s], group[s] = i, first
         size[first] += 1
     before = [-1] * n
+    group.append(-1)  # of the place before the text, reached as index -1
 
     top = n - 1
     while top >= 0:
@@ -34,21 +35,22 @@ def suffix_array(values: list[int]) -> list[int]:
         if start == top:
             s = order[top]
             p = s - 1
-            while p >= 0 and group[p] > start:
+            while group[p] > start:
                 p = before[p]
             before[s] = p
-            if p >= 0:
-                _raise((p,), order, place, group, size)
+            met = None
         else:
-            met: dict[int, int] = {}
+            met = {}
             for s in sorted(order[start : top + 1]):
                 p = s - 1
-                while p >= 0 and group[p] >= start:
+                while group[p] >= start:
                     p = before[p]
                 before[s] = p
-                if p >= 0:
-                    met[p] = met.get(p, 0) + 1
-            if met:
+                met[p] = met.get(p, 0) + 1
+            met.pop(-1, None)
+            if len(met) == 1:
+                (p,) = met
+            elif met:
                 often = max(met.values())
                 if often == 1:
                     _raise(met, order, place, group, size)
@@ -58,6 +60,20 @@ def suffix_array(values: list[int]) -> list[int]:
                         levels.setdefault(times, []).append(p)
                     for times in sorted(levels, reverse=True):
                         _raise(levels[times], order, place, group, size)
+                p = -1
+            else:
+                p = -1
+        if p >= 0:  # a single suffix to move: a group of its own
+            first = group[p]
+            size[first] -= 1
+            last = first + size[first]
+            other = order[last]
+            if other != p:
+                at = place[p]
+                order[at], place[other] = other, at
+                order[last], place[p] = p, last
+            group[p] = last
+            size[last] = 1
         top = start - 1
 
     free = list(range(n))  # next place of a group, by first place
@@ -69,8 +85,9 @@ def suffix_array(values: list[int]) -> list[int]:
         s = found[i] - 1
         while s >= 0 and not done[s]:
             first = group[s]
-            found[free[first]] = s
-            free[first] += 1
+            at = free[first]
+            found[at] = s
+            free[first] = at + 1
             done[s] = 1
             s = before[s]
     return found
@@ -79,25 +96,19 @@ def suffix_array(values: list[int]) -> list[int]:
 def _raise(members, order, place, group, size) -> None:
     """Move the members, each to a new group just above what stays of its
     own; members of one group stay together."""
-    shrunk = set()
+    moved: dict[int, int] = {}
     for p in members:
         first = group[p]
-        size[first] -= 1
-        last = first + size[first]
-        at, other = place[p], order[last]
-        order[at], order[last] = other, p
-        place[other], place[p] = at, last
-        shrunk.add(first)
-    if len(shrunk) == 1 and len(members) == 1:
-        (p,) = members
-        new = place[p]
-        group[p] = new
-        size[new] = 1
-        return
-    starts = {first: first + size[first] for first in shrunk}
-    for first in starts:
-        size[starts[first]] = 0
-    for p in members:
-        new = starts[group[p]]
-        group[p] = new
-        size[new] += 1
+        gone = moved[first] = moved.get(first, 0) + 1
+        last = first + size[first] - gone
+        other = order[last]
+        if other != p:
+            at = place[p]
+            order[at], place[other] = other, at
+            order[last], place[p] = p, last
+    for first, gone in moved.items():
+        size[first] -= gone
+        new = first + size[first]
+        size[new] = gone
+        for i in range(new, new + gone):
+            group[order[i]] = new
