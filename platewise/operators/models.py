@@ -14,6 +14,7 @@ and random streams); only invariants are checked.
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,7 +23,6 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,7 @@ from platewise.operators.features import (
     top_classes,
 )
 from platewise.operators.metrics import class_metrics, per_class_metrics, regression_metrics
+from platewise.operators.similarity import fit_recommender
 from platewise.schema import UNKNOWN
 
 SEED = 42
@@ -50,7 +51,27 @@ CUISINE_FEATURES = [
 
 # Tree growth settings: more nodes per pass over the data and node ids
 # cached with the data (fewer passes and less model broadcast for deep trees).
-TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+# Label codes are numbers with thousands of values: candidate splits of a
+# feature are its 256-quantiles (Spark's default of 32 is too coarse).
+TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=256)
+# Spark's limit; the reference grows classification trees without one.
+MAX_DEPTH = 30
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A result of a few rows (per split or class), computed now, so that it
+    no longer depends on the persisted training rows."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _optional(spark: SparkSession, path: str) -> DataFrame | None:
+    """A saved metrics table, if the model was saved with one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def _training_rows(df: DataFrame) -> DataFrame:
@@ -107,12 +128,11 @@ class RatingModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RatingModel":
-        metrics = None
-        try:
-            metrics = spark.read.parquet(f"{path}/metrics")
-        except Exception:  # noqa: BLE001 - metrics are optional
-            metrics = None
-        return cls(spark.read.parquet(f"{path}/codes"), PipelineModel.load(f"{path}/pipeline"), metrics)
+        return cls(
+            spark.read.parquet(f"{path}/codes"),
+            PipelineModel.load(f"{path}/pipeline"),
+            _optional(spark, f"{path}/metrics"),
+        )
 
 
 def _rating_pipeline(num_trees: int, max_depth: int, seed: int) -> Pipeline:
@@ -150,7 +170,8 @@ def train_rating_model(
     rows = _training_rows(rows)
     pipeline = _rating_pipeline(num_trees, max_depth, seed).fit(rows.where(F.col("split") == "train"))
     scored = pipeline.transform(rows)
-    metrics = regression_metrics(scored.select("split", "label", "prediction"), group="split")
+    metrics = _small(regression_metrics(scored.select("split", "label", "prediction"), group="split"))
+    rows.unpersist()
     return RatingModel(codes, pipeline, metrics)
 
 
@@ -217,32 +238,33 @@ def tune_rating(
     depth: tuple[int, int] = (5, 20),
     seed: int = SEED,
     parallelism: int = 4,
-) -> DataFrame:
-    """Random search over trees and depth, maximising R² on a held-out
-    part of the training split; returns one row per try with its R², the
-    best first.  Retrain with ``train_rating_model`` and the best values.
-    """
+) -> tuple[DataFrame, RatingModel]:
+    """Random search over trees and depth.  ``n_trials`` different tries
+    (as many as there are values, if those are fewer) are fitted on the
+    training split and scored by R² on the test split (K3); returns one row
+    per try, the best first, and the model trained with the best values."""
     rows, _ = prepare_rating(venues)
-    train = _training_rows(rows.where(F.col("split") == "train"))
-    rng = random.Random(seed)
-    tries = sorted({(rng.randint(*trees), rng.randint(*depth)) for _ in range(n_trials)})
-    pipeline = _rating_pipeline(trees[0], depth[0], seed)
-    forest = pipeline.getStages()[-1]
-    search = TrainValidationSplit(
-        estimator=pipeline,
-        estimatorParamMaps=[{forest.numTrees: n, forest.maxDepth: d} for n, d in tries],
-        evaluator=RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2"),
-        trainRatio=0.8,
-        seed=seed,
-        parallelism=parallelism,
-    )
-    fitted = search.fit(train)
-    spark = venues.sparkSession
-    results = spark.createDataFrame(
-        [(n, d, float(r2)) for (n, d), r2 in zip(tries, fitted.validationMetrics)],
-        "num_trees int, max_depth int, r2 double",
+    rows = _training_rows(rows)
+    train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+    values = (trees[1] - trees[0] + 1) * (depth[1] - depth[0] + 1)
+    picks = random.Random(seed).sample(range(values), min(n_trials, values))
+    width = depth[1] - depth[0] + 1
+    tries = [(trees[0] + p // width, depth[0] + p % width) for p in picks]
+    evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2")
+
+    def score(values: tuple[int, int]) -> float:
+        fitted = _rating_pipeline(*values, seed).fit(train)
+        return float(evaluator.evaluate(fitted.transform(test)))
+
+    with ThreadPoolExecutor(parallelism) as pool:  # Spark jobs side by side
+        scores = list(pool.map(score, tries))
+    rows.unpersist()
+    results = venues.sparkSession.createDataFrame(
+        [(n, d, r2) for (n, d), r2 in zip(tries, scores)], "num_trees int, max_depth int, r2 double"
     )
-    return results.orderBy(F.desc("r2"), "num_trees", "max_depth")
+    _, (n, d) = max(zip(scores, tries), key=lambda x: (x[0], -x[1][0], -x[1][1]))
+    best = train_rating_model(venues, n, d, seed)
+    return results.orderBy(F.desc("r2"), "num_trees", "max_depth"), best
 
 
 # ---- cuisine classification -----------------------------------------------------
@@ -275,6 +297,9 @@ class CuisineModel:
         self.city_codes.write.mode("overwrite").parquet(f"{path}/city_codes")
         self.class_codes.write.mode("overwrite").parquet(f"{path}/class_codes")
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        for name in ("metrics", "per_class"):
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "CuisineModel":
@@ -282,16 +307,17 @@ class CuisineModel:
             spark.read.parquet(f"{path}/city_codes"),
             spark.read.parquet(f"{path}/class_codes"),
             PipelineModel.load(f"{path}/pipeline"),
+            _optional(spark, f"{path}/metrics"),
+            _optional(spark, f"{path}/per_class"),
         )
 
 
 def train_cuisine_model(
-    venues: DataFrame, num_trees: int = 100, max_depth: int = 15, seed: int = SEED, k: int = 10
+    venues: DataFrame, num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = SEED, k: int = 10
 ) -> CuisineModel:
     """L3: random forest over the top-k classes, stratified 80/20 split;
-    train/test metrics (M3) and per-class test metrics (M4).  The
-    reference grows trees without a depth limit; Spark's limit is 30, and
-    15 is the default here for cost."""
+    train/test metrics (M3) and per-class test metrics (M4).  Trees grow to
+    Spark's depth limit by default."""
     rows = cuisine_features(venues, k)
     city_codes = label_codes(rows, ["city"])
     class_codes = label_codes(rows, ["cuisine"])
@@ -311,13 +337,15 @@ def train_cuisine_model(
                                 F.col("value").alias("predicted"))
     scored = pipeline.transform(rows).join(F.broadcast(labels), "prediction")
     pairs = scored.select("split", F.col("cuisine").alias("label"), F.col("predicted").alias("prediction"))
-    return CuisineModel(
+    model = CuisineModel(
         city_codes,
         class_codes,
         pipeline,
-        class_metrics(pairs, group="split"),
-        per_class_metrics(pairs.where(F.col("split") == "test")),
+        _small(class_metrics(pairs, group="split")),
+        _small(per_class_metrics(pairs.where(F.col("split") == "test"))),
     )
+    rows.unpersist()
+    return model
 
 
 def predict_cuisine(model: CuisineModel, requests: DataFrame, top: int = 3) -> DataFrame:
@@ -350,12 +378,33 @@ def predict_cuisine(model: CuisineModel, requests: DataFrame, top: int = 3) -> D
 # ---- all three tasks ------------------------------------------------------------
 
 
-def train_all(venues: DataFrame, rating_trees: int = 100, cuisine_trees: int = 100) -> DataFrame:
-    """L8 (+M2): train the rating and cuisine models and summarise the
-    three tasks as (task, split, metric, value) rows; the recommender row
-    counts venues, cities and cuisine items."""
-    rating = train_rating_model(venues, rating_trees)
-    cuisine = train_cuisine_model(venues, cuisine_trees)
+def train_all(
+    venues: DataFrame,
+    path: str | None = None,
+    n_trials: int = 20,
+    cuisine_trees: int = 100,
+    seed: int = SEED,
+) -> DataFrame:
+    """L8 (+M2): tune and train the rating model, train the cuisine model and
+    fit the recommender; with ``path`` all three are saved below it.  Returns
+    (task, split, metric, value) rows; those of the recommender count venues,
+    cities, cuisine items and the terms of its vocabulary."""
+    tried, rating = tune_rating(venues, n_trials, seed=seed)
+    cuisine = train_cuisine_model(venues, cuisine_trees, seed=seed)
+    recommender = fit_recommender(venues)
+    if path is not None:
+        rating.save(f"{path}/rating")
+        cuisine.save(f"{path}/cuisine")
+        recommender.save(f"{path}/recommender")
+    best = tried.limit(1).select(
+        F.lit("rating").alias("task"), F.lit("tuning").alias("split"),
+        F.explode(
+            F.create_map(
+                F.lit("num_trees"), F.col("num_trees").cast("double"),
+                F.lit("max_depth"), F.col("max_depth").cast("double"), F.lit("r2"), F.col("r2"),
+            )
+        ).alias("metric", "value"),
+    )
     rm = rating.metrics.select(
         F.lit("rating").alias("task"),
         "split",
@@ -392,8 +441,10 @@ def train_all(venues: DataFrame, rating_trees: int = 100, cuisine_trees: int = 1
         F.lit("recommendation").alias("task"), F.lit("all").alias("split"),
         F.explode(F.create_map(F.lit("venues"), F.col("venues"), F.lit("cities"), F.col("cities"),
                                F.lit("cuisines"),
-                               items.select(F.count_distinct("c")).scalar().cast("double")))
+                               items.select(F.count_distinct("c")).scalar().cast("double"),
+                               F.lit("terms"),
+                               recommender.idf.agg(F.count(F.lit(1))).scalar().cast("double")))
         .alias("metric", "value"),
     )
-    return rm.unionByName(cm).unionByName(imp).unionByName(rec)
+    return best.unionByName(rm).unionByName(cm).unionByName(imp).unionByName(rec)
 

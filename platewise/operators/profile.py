@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import cuisine_items, main_cuisine, yes_no_flag
@@ -86,8 +86,7 @@ def sample_row(venues: DataFrame, seed: int = 42) -> DataFrame:
     aggregate, no sort and no driver round trip.  Missing values take the
     defaults of the request form.
     """
-    h = F.md5(F.concat(F.lit(str(seed)), F.col("venue_id").cast("string")))
-    picked = venues.agg(F.min_by(F.struct(*venues.columns), h).alias("r")).select("r.*")
+    picked = _picked(venues, seed)
     return picked.select(
         F.coalesce(F.col("votes").cast("bigint"), F.lit(100)).alias("votes"),
         yes_no_flag("has_online_delivery").alias("online_order"),
@@ -97,3 +96,43 @@ def sample_row(venues: DataFrame, seed: int = 42) -> DataFrame:
         F.coalesce(F.col("cuisines"), F.lit(UNKNOWN)).alias("cuisines"),
         F.coalesce(F.col("avg_cost").try_cast("double").cast("bigint"), F.lit(500)).alias("cost"),
     )
+
+
+def sample_class_row(venues: DataFrame, seed: int = 42) -> DataFrame:
+    """G5 for the classification form: the same venue as its request, with
+    that form's defaults."""
+
+    def flag(column: str) -> Column:
+        return F.when(F.col(column).isNull(), F.lit(1)).otherwise(yes_no_flag(column))
+
+    return _picked(venues, seed).select(
+        F.coalesce(F.col("city"), F.lit(UNKNOWN)).alias("city"),
+        flag("has_table_booking").alias("has_table_booking"),
+        flag("has_online_delivery").alias("has_online_delivery"),
+        F.coalesce(F.col("price_range").cast("int"), F.lit(2)).alias("price_range"),
+        F.coalesce(F.col("votes").cast("bigint"), F.lit(150)).alias("votes"),
+    )
+
+
+# The options of the rating form where a table has none.
+OPTION_FALLBACKS = {
+    "city": ["Unknown"],
+    "rest_type": ["Casual Dining", "Quick Bites", "Cafe", "Fine Dining"],
+    "cuisines": ["North Indian", "Chinese", "Continental", "Italian"],
+}
+
+
+def form_options(venues: DataFrame, column: str) -> DataFrame:
+    """E11 for a form: the column's distinct values, or the fallbacks of the
+    rating form if it has none."""
+    found = distinct_values(venues, column)
+    fallback = venues.sparkSession.createDataFrame(
+        [(v,) for v in OPTION_FALLBACKS[column]], found.schema
+    )
+    none = found.agg(F.count(F.lit(1)) == 0).scalar()
+    return found.unionByName(fallback.where(none))
+
+
+def _picked(venues: DataFrame, seed: int) -> DataFrame:
+    h = F.md5(F.concat(F.lit(str(seed)), F.col("venue_id").cast("string")))
+    return venues.agg(F.min_by(F.struct(*venues.columns), h).alias("r")).select("r.*")

@@ -304,6 +304,31 @@ SELECT CAST(coalesce(votes, 100) AS BIGINT) AS votes,
 FROM v ORDER BY md5('42' || CAST(venue_id AS VARCHAR)) LIMIT 1
 """)
 
+ORACLES["sample_class_row"] = with_venues("""
+SELECT coalesce(city, 'Unknown') AS city,
+       CASE WHEN has_table_booking IS NULL OR lower(has_table_booking) = 'yes' THEN 1 ELSE 0 END
+           AS has_table_booking,
+       CASE WHEN has_online_delivery IS NULL OR lower(has_online_delivery) = 'yes' THEN 1 ELSE 0 END
+           AS has_online_delivery,
+       CAST(coalesce(price_range, 2) AS INTEGER) AS price_range,
+       CAST(coalesce(votes, 150) AS BIGINT) AS votes
+FROM v ORDER BY md5('42' || CAST(venue_id AS VARCHAR)) LIMIT 1
+""")
+
+ORACLES["form_options"] = with_venues("""
+SELECT DISTINCT rest_type AS option FROM v WHERE rest_type IS NOT NULL
+UNION ALL SELECT 'Unknown'
+""")
+
+ORACLES["cleaning_steps"] = with_venues("""
+SELECT venue_id, venue_name AS name, city, CAST(coalesce(avg_cost, 0) AS DOUBLE) AS cost,
+       CAST(coalesce(votes, 0) AS DOUBLE) AS votes, price_range,
+       CASE WHEN lower(has_table_booking) = 'yes' THEN 1 ELSE 0 END AS book_table,
+       trim(split_part(coalesce(cuisines, 'Unknown'), ',', 1)) AS main_cuisine,
+       'none' AS dish_liked, round(coalesce(latitude, 0), 6) AS latitude
+FROM v WHERE price_range IS NOT NULL AND city IS NOT NULL
+""")
+
 ORACLES["filter_venues"] = with_venues("""
 rec AS (
     SELECT venue_id, venue_name,

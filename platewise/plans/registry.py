@@ -154,6 +154,19 @@ def _sample_row(spark, sf_dir):
     return profile.sample_row(venues(spark, sf_dir), 42)
 
 
+@register("sample_class_row")
+def _sample_class_row(spark, sf_dir):
+    return profile.sample_class_row(venues(spark, sf_dir), 42)
+
+
+@register("form_options")
+def _form_options(spark, sf_dir):
+    v = venues(spark, sf_dir)
+    some = profile.form_options(v, "rest_type").withColumnRenamed("rest_type", "option")
+    none = profile.form_options(v.where(F.col("city").isNull()), "city")
+    return some.unionByName(none.withColumnRenamed("city", "option"))
+
+
 # ---- cleaning, filters, bands (B1-B5, C1-C6, I1) ----------------------------
 
 FILTER_REQUEST = dict(city="nation_3", cuisine="brand#1$|brand#2", table_booking=True)
@@ -173,6 +186,24 @@ def _clean_venues(spark, sf_dir):
     return cleaning.clean_venues(venues(spark, sf_dir))
 
 
+@register("cleaning_steps")
+def _cleaning_steps(spark, sf_dir):
+    """A2 and B1-B4, B6-B8 as the tasks chain them."""
+    rows = cleaning.rename_columns(
+        venues(spark, sf_dir), {"avg_cost": "cost", "venue_name": "name", "absent": "ignored"}
+    )
+    rows = cleaning.add_missing_columns(rows, {"dish_liked": "none", "city": "never used"})
+    rows = cleaning.drop_missing(rows, ["price_range", "city"])
+    rows = cleaning.parse_numbers(rows, ["cost", "votes"], 0.0)
+    rows = cleaning.yes_no_flags(rows, {"has_table_booking": "book_table"})
+    rows = cleaning.with_main_cuisine(rows)
+    rows = cleaning.fill_missing(rows, {"latitude": 0.0, "absent": 1})
+    return rows.select(
+        "venue_id", "name", "city", "cost", "votes", "price_range", "book_table", "main_cuisine",
+        "dish_liked", "latitude",
+    )
+
+
 @register("combined_text")
 def _combined_text(spark, sf_dir):
     return cleaning.combined_text(venues(spark, sf_dir))
@@ -458,11 +489,16 @@ def _rating_model_metrics(spark, sf_dir):
     return _model("rating", spark, sf_dir).metrics
 
 
+@register("cuisine_per_class", rows_only=True)
+def _cuisine_per_class(spark, sf_dir):
+    return _model("cuisine", spark, sf_dir).per_class
+
+
 @register("tune_rating", rows_only=True)
 def _tune_rating(spark, sf_dir):
-    return models.tune_rating(venues(spark, sf_dir), n_trials=20)
+    return models.tune_rating(venues(spark, sf_dir), n_trials=20)[0]
 
 
 @register("train_all", rows_only=True)
 def _train_all(spark, sf_dir):
-    return models.train_all(venues(spark, sf_dir))
+    return models.train_all(venues(spark, sf_dir), n_trials=3)

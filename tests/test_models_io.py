@@ -92,9 +92,10 @@ def test_stream_recommendations(spark, venues_small, tmp_path):
     ]
     (src / "a.json").write_text("\n".join(json.dumps(r) for r in reqs))
     sink = str(tmp_path / "out")
-    q = stream_recommendations(spark, venues_small, str(src), sink, str(tmp_path / "ck"),
+    q, state = stream_recommendations(spark, venues_small, str(src), sink, str(tmp_path / "ck"),
                                top_n=5, available_now=True)
     q.awaitTermination(300)
+    state.release()
     got = spark.read.parquet(sink)
     batch = similarity.recommend(
         spark.createDataFrame([tuple(r.values()) for r in reqs], similarity.REQUEST_SCHEMA),
