@@ -3,6 +3,8 @@ column names and an order-insensitive hash of the values)."""
 
 import hashlib
 import math
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,6 +14,9 @@ from platewise.sources.testdata import TABLES
 
 from conftest import SF_SMALL
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
+from compare import type_differences  # noqa: E402
+
 ORACLES = entry.oracle_sql()
 
 
@@ -57,6 +62,7 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert type_differences(df, con(), ORACLES[name]) == {}
     assert len(rows) == len(orows)
     assert _digest(rows, df.columns) == _digest(orows, ocols)
 

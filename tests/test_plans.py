@@ -17,10 +17,10 @@ def test_keyword_classification_needs_no_shuffle(spark, capsys):
     assert "Exchange" not in plan
 
 
-def test_recommend_uses_partial_top_n_and_broadcast_requests(spark, capsys):
+def test_recommend_uses_partial_top_n_and_equi_joins(spark, capsys):
     plan = plan_of(entry.queries()["recommend_batch"](spark, SF_SMALL), capsys)
     assert plan.count("WindowGroupLimit") >= 2  # partial before the shuffle, final after
-    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_city_stats_reads_only_needed_columns(spark, capsys):
