@@ -269,3 +269,69 @@ PAGE_DOC = r"try_cast(regexp_extract(url, '/([0-9]+)[^0-9/?#]*([?#].*)?$', 1) AS
 def op9_html_text(spark, sf_dir):
     found = html_text.visible_text(table(spark, sf_dir, "pages"))
     return found.withColumnRenamed("id", "page_id")
+
+
+ORACLES["op8_url_filter"] = r"""
+WITH p AS (
+    SELECT page_id, url,
+           coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), s AS (SELECT *, regexp_replace(path, '[^/]*[0-9][^/.]*', '*', 'g') AS shape FROM p
+), shapes AS (SELECT host, shape, count(*) AS pages FROM s GROUP BY host, shape
+), nodes AS (
+    SELECT host, shape, pages, i, segs[i + 1] AS segment, array_to_string(segs[1:i], '/') AS above
+    FROM (SELECT *, string_split(shape, '/') AS segs FROM shapes), unnest(range(len(segs))) AS u(i)
+), wild AS (
+    SELECT host, above, i FROM (
+        SELECT host, above, i, segment, sum(pages) AS pages FROM nodes GROUP BY ALL)
+    GROUP BY ALL HAVING count(*) > 32 AND 2 * count(*) > sum(pages)
+), tree AS (
+    SELECT host, shape, array_to_string(parts, '/') AS template,
+           array_to_string(parts[1:len(parts) - 1], '/') AS parent
+    FROM (SELECT n.host, n.shape,
+                 list(CASE WHEN w.i IS NULL THEN n.segment ELSE '*' END ORDER BY n.i) AS parts
+          FROM nodes n LEFT JOIN wild w ON w.host = n.host AND w.above = n.above AND w.i = n.i
+          GROUP BY n.host, n.shape)
+), doc_labels AS (
+    SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id
+), known AS (
+    SELECT page_id, bool_or(bad) AS bad
+    FROM p JOIN doc_labels ON doc_id =
+        try_cast(regexp_extract(url, '/([0-9]+)[^0-9/?#]*([?#].*)?$', 1) AS BIGINT)
+    GROUP BY page_id
+), counts AS (
+    SELECT t.host, t.template, t.parent, coalesce(sum(k.n), 0) AS n, coalesce(sum(k.bad), 0) AS bad
+    FROM tree t LEFT JOIN (
+        SELECT host, shape, count(*) AS n, count(*) FILTER (known.bad) AS bad
+        FROM s JOIN known USING (page_id) GROUP BY host, shape) k
+      ON k.host = t.host AND k.shape = t.shape
+    GROUP BY t.host, t.template, t.parent
+), parents AS (
+    SELECT host, parent, sum(n) AS pn, sum(bad) AS pbad FROM counts GROUP BY host, parent
+), branch AS (
+    SELECT c.host, c.template, n, bad,
+           CASE WHEN coalesce(n = 0 OR abs(bad / nullif(n, 0) - (pbad - bad) / nullif(pn - n, 0))
+                              <= 1.96 * sqrt(pbad / nullif(pn, 0) * (1 - pbad / nullif(pn, 0))
+                                             * (1.0 / nullif(n, 0) + 1.0 / nullif(pn - n, 0))), FALSE)
+                THEN c.parent || '/~' ELSE c.template END AS branch
+    FROM counts c JOIN parents q ON q.host = c.host AND q.parent = c.parent
+), total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS share FROM counts
+), judged AS (
+    SELECT host, branch, (sum(bad) + 4.0 * any_value(share)) / (sum(n) + 4.0) > 0.5 AS rejected
+    FROM branch, total GROUP BY host, branch
+)
+SELECT page_id, s.host, path,
+       CASE WHEN (s.host = 'www.example.com' OR s.host LIKE '%.www.example.com')
+                 AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+            WHEN (s.host = 'example.com' OR s.host LIKE '%.example.com')
+                 AND starts_with(path, '/en/') THEN 'example.com/en/'
+            WHEN (s.host = 'net' OR s.host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+            WHEN (s.host = 'net' OR s.host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+            WHEN (s.host = 'com' OR s.host LIKE '%.com') AND starts_with(path, '/') THEN 'com/'
+       END AS rule,
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
+            WHEN rule IS NOT NULL OR rejected THEN 'block' ELSE 'allow' END AS verdict
+FROM s JOIN tree USING (host, shape) JOIN branch USING (host, template) JOIN judged USING (host, branch)
+"""

@@ -67,8 +67,7 @@ def matched_rule(rules: Sequence[tuple[str, str, str]], host: Column, path: Colu
 def shape(path: Column) -> Column:
     """The path with every segment that holds a digit as ``*``, keeping a
     digit-free extension."""
-    starred = F.regexp_replace(path, r"[^/]*[0-9][^/.]*(?=[/.]|$)", "*")
-    return F.regexp_replace(starred, r"[^/]*[0-9][^/]*", "*")
+    return F.regexp_replace(path, r"[^/]*[0-9][^/.]*", "*")
 
 
 def templates(paths: DataFrame) -> DataFrame:
