@@ -53,7 +53,7 @@ GRAM = 20
 # Bytes of text whose segments a bucket holds on average.
 BUCKET_BYTES = 8 << 20
 # Different strings of a class that are ordered together.
-HOT_CLASS = 1500
+HOT_CLASS = 20_000
 # Bytes of strings per suffix array; a class is never cut.
 BATCH_BYTES = 1 << 16
 # Bytes of text handled at once in a task.
@@ -209,13 +209,26 @@ def deal(batches, buckets: int):
         yield pack(block)
 
 
-CLASS_ROWS = (
-    "kind int, string long, class long, hot boolean, several boolean, "
-    "id long, mark long, at int, more int, anchor int"
-)
+# ``info`` packs first window, further windows, anchor offset, kind and flags.
+CLASS_ROWS = "string long, class long, id long, mark long, info long"
+MORE, ANCHOR, KIND, HOT, SEVERAL = 32, 40, 48, 50, 51
+
 
+def _field(shift: int, mask: int):
+    return F.shiftright("info", shift).bitwiseAND(F.lit(mask)).cast("int")
 
-def classes(batches):
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "string", "class", "id", "mark",
+        F.col("info").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"),
+        _field(MORE, 255).alias("more"), _field(ANCHOR, 255).alias("anchor"),
+        _field(KIND, 3).alias("kind"), (_field(HOT, 1) == 1).alias("hot"),
+        (_field(SEVERAL, 1) == 1).alias("several"),
+    )
+
+
+def classes(batches, hot_class: int = HOT_CLASS):
     """Decide the classes of each bucket (kind 0: a covered run of windows) or
     ask for their strings (kind 1: where a string occurs, kind 2: one
     occurrence of each string).  The rows of a partition come by bucket."""
@@ -283,7 +296,7 @@ def classes(batches):
         heads = np.flatnonzero(new)
         several = np.maximum.reduceat(who, heads) > who[heads]
         _, back, strings = np.unique(number[heads], return_inverse=True, return_counts=True)
-        hot = strings[back] > HOT_CLASS
+        hot = strings[back] > hot_class
         later = who > first  # the smallest document of a class never loses
         zero = np.zeros(int(later.sum()), np.int64)
         yield _class_batch(
@@ -309,19 +322,12 @@ def classes(batches):
 
 
 def _class_batch(kind, string, key, hot, several, ids, marks, at, more, anchor):
-    n = len(ids)
-
-    def flag(x):
-        return pa.array(np.broadcast_to(np.asarray(x, bool), n).copy())
-
+    info = at.astype(np.int64) | (more.astype(np.int64) << MORE)
+    info |= anchor.astype(np.int64) << ANCHOR
+    info |= kind << KIND | np.asarray(hot, np.int64) << HOT | np.asarray(several, np.int64) << SEVERAL
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, kind, np.int32)), pa.array(string), pa.array(key),
-            flag(hot), flag(several), pa.array(ids), pa.array(marks),
-            pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)),
-            pa.array(anchor.astype(np.int32)),
-        ],
-        names=["kind", "string", "class", "hot", "several", "id", "mark", "at", "more", "anchor"],
+        [pa.array(string), pa.array(key), pa.array(ids), pa.array(marks), pa.array(info)],
+        names=["string", "class", "id", "mark", "info"],
     )
 
 
@@ -461,18 +467,16 @@ def _buckets(docs: DataFrame, text_col: str) -> int:
     return 1 << (max(least, size // BUCKET_BYTES) - 1).bit_length()
 
 
-def covered_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(id, mark, start, end)``: byte spans to remove, not yet merged."""
-    texts = _texts(docs, text_col, id_col)
-    buckets = _buckets(docs, text_col)
+def covered_spans(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
+    """``(id, mark, start, end)``: byte spans to remove from the rows of
+    ``texts(id, mark, raw)``, not yet merged."""
     partitions = max(buckets // 4, 1)
-
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
         "bucket long, rows binary, ids binary, marks binary, counts binary",
     )
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    found = checkpointed(dealt.mapInArrow(classes, CLASS_ROWS))
+    found = _unpacked(checkpointed(dealt.mapInArrow(lambda b: classes(b, hot_class), CLASS_ROWS)))
 
     wanted = found.where("kind = 2").groupBy("id", "mark").agg(
         F.collect_list(
@@ -487,8 +491,8 @@ def covered_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             F.substring(F.col("raw"), a["at"] + 1, a["more"] + LENGTH).alias("body"),
         ),
     )
-    once = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"])
-    strings = checkpointed(once.select("id", F.inline(cut)))
+    # rows that repeat a text ask twice: the same strings with the same owner
+    strings = texts.join(wanted, ["id", "mark"]).select("id", F.inline(cut))
 
     plain = strings.where("NOT hot").select("class", "string", "id", "several", "body", "anchor")
     plain = plain.repartition("class").sortWithinPartitions("class")
@@ -540,21 +544,25 @@ def _kept(raw: bytes, spans) -> bytes:
     return b"".join(parts)
 
 
-def _spans_by_text(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    spans = covered_spans(docs, text_col, id_col).groupBy("id", "mark").agg(
+def _spans_by_text(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
+    return covered_spans(texts, buckets, hot_class).groupBy("id", "mark").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
-    return spans.select(F.struct("id", "mark").alias("repeat_key"), F.col("spans").alias("repeat_spans"))
 
 
-def removals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def removals(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    hot_class: int = HOT_CLASS,
+) -> DataFrame:
     """Per row: ``id``, ``n_bytes``, ``spans`` (maximal removed runs, as
-    ``[start, end)``) and ``kept_sha256``."""
-    spans = _spans_by_text(docs, text_col, id_col)
+    ``[start, end)``) and ``kept_sha256``.  The texts meet the strings asked
+    for and the spans by the same keys, so one exchange serves both."""
     texts = _texts(docs, text_col, id_col)
+    spans = _spans_by_text(texts, _buckets(docs, text_col), hot_class)
+    rows = texts.join(spans, ["id", "mark"], "left")
     own = F.when(F.col("id") != NO_ID, F.col("id"))
-    texts = texts.select(own.alias("own"), "raw", F.struct("id", "mark").alias("key"))
-    rows = texts.join(spans, F.col("key") == F.col("repeat_key"), "left")
 
     def run(batches):
         for batch in batches:
@@ -574,7 +582,7 @@ def removals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
                 names=["id", "n_bytes", "spans", "kept_sha256"],
             )
 
-    return rows.select("own", "raw", "repeat_spans").mapInArrow(
+    return rows.select(own, "raw", "spans").mapInArrow(
         run, "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept_sha256 string"
     )
 
@@ -585,7 +593,8 @@ def without_repeats(
     """``docs`` with the covered bytes cut out of the text, all other columns
     as they are but for ``length_col``, if there, which follows the new text.
     A character of which only some bytes remain is dropped."""
-    spans = _spans_by_text(docs, text_col, id_col)
+    spans = _spans_by_text(_texts(docs, text_col, id_col), _buckets(docs, text_col))
+    spans = spans.select(F.struct("id", "mark").alias("repeat_key"), F.col("spans").alias("repeat_spans"))
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     key = F.struct(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),

@@ -166,9 +166,7 @@ def test_suffix_array():
         assert suffixes.suffix_array(values) == sorted(range(len(values)), key=lambda i: values[i:])
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
-def test_op6(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_CLASS", hot)
+def test_op6(spark, odd):
     docs = documents(spark, odd)
     want = Counter()
     for (i, _), (n, spans, sha) in zip(docs, brute.repeats(docs)):
@@ -177,6 +175,13 @@ def test_op6(spark, odd, monkeypatch, hot):
     assert Counter(rows(got)) == want
 
 
+def test_op6_hot_classes(spark, odd):
+    docs = documents(spark, odd)
+    want = Counter((i, tuple(spans)) for (i, _), (_, spans, _) in zip(docs, brute.repeats(docs)))
+    got = repeats.removals(spark.read.parquet(f"{odd}/documents.parquet"), hot_class=1)
+    assert Counter((r.id, tuple(map(tuple, r.spans))) for r in got.collect()) == want
+
+
 def test_op6_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 97)
     rng = random.Random(4)
@@ -193,7 +198,7 @@ def test_op6_long_text_in_blocks(spark, monkeypatch):
     )
     dealt = list(repeats.deal([batch], 4))
     windows = sum(
-        int(np.frombuffer(b["rows"].as_py()[-n:], "u1").sum()) + n
+        int(np.frombuffer(b["rows"].as_py()[-2 * n : -n], "u1").sum()) + n
         for part in dealt
         for b in [dict(zip(part.schema.names, row)) for row in zip(*part.columns)]
         for n in [int(np.frombuffer(b["counts"].as_py(), np.uint32).sum())]
