@@ -41,7 +41,8 @@ def turns(conversations: DataFrame) -> DataFrame:
             F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
         ).alias("said"),
     ).where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    once = rows.groupBy("conv_id", "turn").agg(F.min("said").alias("said"))
+    # dealt by conversation once, for this grouping and that of ``numbered``
+    once = rows.repartition("conv_id").groupBy("conv_id", "turn").agg(F.min("said").alias("said"))
     return once.select("conv_id", "turn", "said.role", "said.text")
 
 
@@ -59,17 +60,19 @@ def pairs_by_opening(chats: DataFrame) -> DataFrame:
     """``(chosen_id, rejected_id, chosen, rejected)`` from ``numbered`` rows."""
     start = F.col("said")[0]
     opening = F.sha2(F.concat_ws("\x00", start["role"], start["text"]), 256)
-    keyed = chats.withColumn("opening", opening)
+    keyed = chats.select("conv_id", opening.alias("opening"))
     groups = keyed.groupBy("opening").agg(
         F.min("conv_id").alias("chosen_id"), F.count(F.lit(1)).alias("members")
     )
-    groups = groups.where("members > 1").select("opening", "chosen_id")
-    first = keyed.select(F.col("conv_id").alias("chosen_id"), F.col("said").alias("chosen"))
-    # one row per group; as a stored table it meets the others in a plain
-    # join, whose hot groups Spark can split
-    first = checkpointed(groups.join(first, "chosen_id"))
-    return keyed.join(first, "opening").where("conv_id > chosen_id").select(
-        "chosen_id", F.col("conv_id").alias("rejected_id"), "chosen", F.col("said").alias("rejected")
+    # pairs of ids first: conversations whose opening is their own, mostly
+    # all, are not shuffled with their texts
+    groups = checkpointed(groups.where("members > 1").select("opening", "chosen_id"))
+    pairs = keyed.join(groups, "opening").where("conv_id > chosen_id")
+    pairs = checkpointed(pairs.select("chosen_id", F.col("conv_id").alias("rejected_id")))
+    rejected = chats.select(F.col("conv_id").alias("rejected_id"), F.col("said").alias("rejected"))
+    chosen = chats.select(F.col("conv_id").alias("chosen_id"), F.col("said").alias("chosen"))
+    return pairs.join(rejected, "rejected_id").join(chosen, "chosen_id").select(
+        "chosen_id", "rejected_id", "chosen", "rejected"
     )
 
 

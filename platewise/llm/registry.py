@@ -17,7 +17,7 @@ from platewise.llm import (
     token_counts,
     urls,
 )
-from platewise.llm.common import table
+from platewise.llm.common import checkpointed, table
 
 # Where the vocabulary files of the public tokenizers are; never copied here.
 PIECES = "piece_bpe_32k.model"
@@ -190,6 +190,7 @@ def _listed(spans):
 @query
 def op4_preference_format(spark, sf_dir):
     chats = preferences.numbered(preferences.turns(table(spark, sf_dir, "conversations")))
+    chats = checkpointed(chats)  # four branches read it
     pairs = preferences.pairs_by_opening(chats).unionByName(preferences.pairs_by_answer(chats))
     found = preferences.format_pairs(pairs)
     return found.withColumns(
