@@ -53,11 +53,11 @@ GRAM = 20
 # Bytes of text whose segments a bucket holds on average.
 BUCKET_BYTES = 8 << 20
 # Different strings of a class that are ordered together.
-HOT_CLASS = 20_000
+HOT_CLASS = 10_000
 # Bytes of strings per suffix array; a class is never cut.
 BATCH_BYTES = 1 << 16
 # Bytes of text handled at once in a task.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 NO_ID = (1 << 63) - 1
 _PLACE_BITS = np.uint64(23)
@@ -470,7 +470,7 @@ def _buckets(docs: DataFrame, text_col: str) -> int:
 def covered_spans(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
     """``(id, mark, start, end)``: byte spans to remove from the rows of
     ``texts(id, mark, raw)``, not yet merged."""
-    partitions = max(buckets // 4, 1)
+    partitions = max(buckets // 2, 1)
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
         "bucket long, rows binary, ids binary, marks binary, counts binary",
@@ -566,17 +566,27 @@ def removals(
 
     def run(batches):
         for batch in batches:
-            merged, hashes, sizes = [], [], []
-            for raw, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            found = batch.column(2)
+            at = found.offsets.to_pylist()
+            low = found.values.field("start").to_numpy()
+            high = found.values.field("end").to_numpy()
+            flat, ends, hashes, sizes = [], [0], [], []
+            for i, raw in enumerate(batch.column(1)):
                 raw = raw.as_py()
-                cut = _merged((s["start"], s["end"]) for s in spans or ())
-                merged.append([{"start": s, "end": e} for s, e in cut])
+                part = slice(at[i], at[i + 1])
+                cut = _merged(zip(low[part].tolist(), high[part].tolist()))
+                flat += cut
+                ends.append(len(flat))
                 hashes.append(hashlib.sha256(_kept(raw, cut)).hexdigest())
                 sizes.append(len(raw))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            pairs = np.array(flat, np.int32).reshape(-1, 2)
+            spans = pa.StructArray.from_arrays(
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, kind),
+                    batch.column(0), pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans),
                     pa.array(hashes, pa.string()),
                 ],
                 names=["id", "n_bytes", "spans", "kept_sha256"],
