@@ -51,13 +51,15 @@ from platewise.llm.suffixes import suffix_array
 LENGTH = 50
 GRAM = 20
 # Bytes of text whose segments a bucket holds on average.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 # Different strings of a class that are ordered together.
 HOT_CLASS = 10_000
 # Bytes of strings per suffix array; a class is never cut.
 BATCH_BYTES = 1 << 16
 # Bytes of text handled at once in a task.
 BLOCK_BYTES = 1 << 20
+# Segments that a task gathers before it deals them out.
+GATHERED = 1 << 20
 
 NO_ID = (1 << 63) - 1
 _PLACE_BITS = np.uint64(23)
@@ -139,14 +141,14 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers, inv
 
 
 def deal(batches, buckets: int):
-    """Packed segments per block and bucket."""
+    """Packed segments, a row per bucket for every ``GATHERED`` segments."""
     powers = inverse = None
     known = np.uint64(buckets.bit_length() - 1)  # bits that the bucket tells
-    bits = np.uint64(64) - known
+    gathered, texts, count = [], [], 0  # texts: (id, text hash) of each block row
 
     def pack(block):
-        """``block``: (id, text hash, offset in the text, bytes)."""
-        nonlocal powers, inverse
+        """Segments of a block of (id, text hash, offset in the text, bytes)."""
+        nonlocal powers, inverse, count
         lengths = np.array([len(x[3]) for x in block], np.int64)
         ends = np.cumsum(lengths)
         n = int(ends[-1])
@@ -155,38 +157,44 @@ def deal(batches, buckets: int):
             inverse = _powers(pow(_BASE, -1, 1 << 64), n)
         data = np.frombuffer(b"".join(x[3] for x in block), np.uint8)
         gram, string, text, at, more, anchor = segments(data, ends - lengths, ends, powers, inverse)
-        key = (gram >> bits) if buckets > 1 else np.zeros(len(gram), np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, text = key[order], text[order]
-        rows = np.empty(len(order), SEGMENT)
-        gram, string = gram[order], string[order]
-        at = at[order] + np.array([x[2] for x in block], np.int64)[text]
+        at = at + np.array([x[2] for x in block], np.int64)[text]
+        rows = np.empty(len(gram), SEGMENT)
         rows["gram"] = (gram << known) >> np.uint64(32)
         rows["string"], rows["string2"] = string & np.uint64(0xFFFFFFFF), string >> np.uint64(48)
         rows["at"], rows["at2"] = at & 0xFFFF, at >> 16
-        rows["more"], rows["anchor"] = more[order], anchor[order]
+        rows["more"], rows["anchor"] = more, anchor
+        key = gram >> (np.uint64(64) - known) if buckets > 1 else np.zeros(len(gram), np.uint64)
+        gathered.append((key.astype(np.int32), rows, (text + len(texts)).astype(np.int32)))
+        texts.extend((x[0], x[1]) for x in block)
+        count += len(gram)
+
+    def hand_out():
+        nonlocal count
+        key, rows, text = (np.concatenate(x) for x in zip(*gathered))
+        ids, marks = (np.array(x, np.int64) for x in zip(*texts))
+        gathered.clear()
+        texts.clear()
+        count = 0
+        order = np.argsort(key, kind="stable")  # texts stay in order in a bucket
+        key, rows, text = key[order], rows[order], text[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-        ids = np.array([x[0] for x in block], np.int64)
-        marks = np.array([x[1] for x in block], np.int64)
-        out = []
         for i, j in zip(cuts, [*cuts[1:], len(key)]):
-            used, count = np.unique(text[i:j], return_counts=True)
-            out.append(
-                (
-                    int(key[i]),
-                    b"".join(rows[i:j][c].tobytes() for c in SEGMENT.names),
-                    ids[used].tobytes(),
-                    marks[used].tobytes(),
-                    count.astype(np.uint32).tobytes(),
-                )
+            used, number = np.unique(text[i:j], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(key[i])], pa.int64()),
+                    *[
+                        pa.array([x], pa.binary())
+                        for x in (
+                            b"".join(rows[i:j][c].tobytes() for c in SEGMENT.names),
+                            ids[used].tobytes(),
+                            marks[used].tobytes(),
+                            number.astype(np.uint32).tobytes(),
+                        )
+                    ],
+                ],
+                names=["bucket", "rows", "ids", "marks", "counts"],
             )
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([o[0] for o in out], pa.int64()),
-                *[pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)],
-            ],
-            names=["bucket", "rows", "ids", "marks", "counts"],
-        )
 
     block, size = [], 0
     for batch in batches:
@@ -203,10 +211,14 @@ def deal(batches, buckets: int):
                 block.append((key, mark, s, piece))
                 size += len(piece)
                 if size >= BLOCK_BYTES:
-                    yield pack(block)
+                    pack(block)
                     block, size = [], 0
+                    if count >= GATHERED:
+                        yield from hand_out()
     if block:
-        yield pack(block)
+        pack(block)
+    if gathered:
+        yield from hand_out()
 
 
 # ``info`` packs first window, further windows, anchor offset, kind and flags.
@@ -470,7 +482,7 @@ def _buckets(docs: DataFrame, text_col: str) -> int:
 def covered_spans(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
     """``(id, mark, start, end)``: byte spans to remove from the rows of
     ``texts(id, mark, raw)``, not yet merged."""
-    partitions = max(buckets // 2, 1)
+    partitions = buckets
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
         "bucket long, rows binary, ids binary, marks binary, counts binary",
