@@ -98,7 +98,7 @@ class MergeTable:
         """
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 2_000_000:  # a cache only
+            if len(self._pairs) > 400_000:  # a cache only
                 self._pairs.clear()
             known = self._pairs[left, right] = self._border_stays(left, right)
         return known

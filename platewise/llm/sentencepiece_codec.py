@@ -38,8 +38,8 @@ MARK = "▁"
 # break.  No piece has a mark behind another character or holds a line break.
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
-BLOCK_CHARS = 4_000_000
-CACHED_WORDS = 800_000
+BLOCK_CHARS = 2_000_000
+CACHED_WORDS = 500_000
 
 
 class Codec:
