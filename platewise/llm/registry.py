@@ -252,7 +252,7 @@ FROM parts
 def op8_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     # a page renders the document whose id its path ends in
-    page_doc = pages.select("page_id", F.expr(PAGE_DOC).alias("doc_id"))
+    page_doc = pages.select("page_id", page_document(F.col("url")).alias("doc_id"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     )
@@ -263,7 +263,10 @@ def op8_url_filter(spark, sf_dir):
     return found.withColumnRenamed("id", "page_id").drop("template", "branch")
 
 
-PAGE_DOC = r"try_cast(regexp_extract(url, '/([0-9]+)[^0-9/?#]*([?#].*)?$', 1) AS BIGINT)"
+def page_document(url):
+    """The id that ends the path of ``url``, slashes behind it aside."""
+    _, path = urls.host_and_path(url)
+    return F.regexp_extract(path, r"/([0-9]+)[^0-9/]*/*$", 1).try_cast("bigint")
 
 
 @query
