@@ -1,17 +1,22 @@
 """Visible text of HTML pages, laid out in blocks, lists and tables.
 
 A small tree builder reads tags, text, comments and raw-text elements in one
-pass, with the implied end tags of paragraphs, list items, table parts and
-options; unclosed and stray tags are closed or dropped.  The renderer walks
+pass, with the implied end tags of paragraphs, list items, table parts,
+options and ``head``, which ends at the first text or tag that does not belong
+in it; unclosed and stray tags are closed or dropped.  The renderer walks
 the tree without recursion (deeply nested pages are fine) and emits all
 visible text: white space is collapsed except in ``pre``, blocks stand on
 their own lines with a blank line around paragraphs and headings, list items
 get a bullet or their number and the indent of their depth, table cells are
 padded to the width of their column.
 
-Hidden are ``head`` except its title, scripts, styles, templates, the
-``hidden`` attribute, ``display:none`` and ``visibility:hidden`` styles, and
-hidden inputs.
+Hidden is what a browser does not render: ``head`` except its title, scripts,
+styles, templates, data lists, what ``noscript``, frames, ``audio``, ``video``
+and ``canvas`` hold for browsers without them, titles, descriptions, metadata
+and definitions of ``svg``, annotations of ``math``, the ``hidden`` attribute,
+``display:none`` and ``visibility:hidden`` styles, and hidden inputs.  The text
+of ``svg`` and ``math`` is visible, and so is that of ``object``, which is
+rendered where its data is not.
 
 Pages are independent rows in Arrow batches; nothing is shuffled.  Defined
 results: a null or empty page has empty text; text without tags comes back
@@ -33,8 +38,16 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "script style template noscript iframe noembed noframes object audio video canvas svg "
-    "math datalist head".split()
+    "script style template noscript iframe noembed noframes audio video canvas datalist head "
+    "annotation annotation-xml".split()
+)
+SVG_HIDDEN = frozenset(
+    "title desc metadata defs symbol clippath mask marker pattern lineargradient "
+    "radialgradient filter".split()
+)
+# A start tag of another element closes an open head.
+IN_HEAD = frozenset(
+    "base basefont bgsound link meta noframes noscript script style template title head".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 BLOCK = SPACED | frozenset(
@@ -93,6 +106,8 @@ def parse(page: str) -> Node:
     def text(upto: int, end: int) -> None:
         if upto < end:
             raw = page[upto:end]
+            if stack[-1].tag == "head" and raw.strip(" \t\n\f\r"):
+                del stack[-1]
             stack[-1].kids.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(tags, scope) -> None:
@@ -125,6 +140,11 @@ def parse(page: str) -> Node:
                 if stack[i].tag in ("td", "th", "table") and tag not in TABLE_ENDS:
                     break  # an end tag inside a cell closes nothing outside
             continue
+        if stack[-1].tag == "head":
+            if tag == "head":
+                continue  # a second one in the first
+            if tag not in IN_HEAD:
+                del stack[-1]
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in P_CLOSERS:
@@ -215,9 +235,11 @@ def layout(root: Node) -> list[str]:
                 titles = [k for k in kid.kids if isinstance(k, Node) and k.tag == "title"]
                 frames.append([_group(titles), 0, None])
                 continue
-            if hidden(kid):
-                continue
             tag = kid.tag
+            if hidden(kid) or tag in SVG_HIDDEN and any(f[0].tag == "svg" for f in frames):
+                continue
+            if tag == "text" and any(f[0].tag == "svg" for f in frames):
+                sheets[-1].put(" ")  # each has a place of its own
             if tag == "br":
                 _pre_line(sheets[-1]) if state == "pre" else _break(sheets[-1])
             elif tag == "hr":

@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from platewise.llm import licenses, registry
+from platewise.llm import html_text, licenses, registry
 from platewise.llm.registry import QUERIES
 
 
@@ -76,3 +76,21 @@ def test_op1_looks_at_the_wording_where_nothing_is_saved(monkeypatch):
     monkeypatch.setattr(scan, "plain", scan.primed[-1])  # then the last template saves nothing
     name, _, saving, missing, added, exact = scan.judge("All rights reserved.")
     assert (name, saving, missing, added, exact) == ("Proprietary", 0.0, [], [], True)
+
+
+def test_op9_open_head():
+    text = html_text.page_text
+    assert text("<head><title>T</title><p>one<p>two") == "T\n\none\n\ntwo"
+    assert text("<html><head><meta charset=x><title>T</title>plain<b> bold</b>") == "T\nplain bold"
+    assert text("<head>\n<style>no</style><script>no</script>\n<div>yes</div></html>") == "yes"
+    assert text("<head><head><title>T</title></head><body>b") == "T\nb"
+    assert text("<head><template><p>no</p></template><noscript><p>no</p></noscript></head>b") == "b"
+
+
+def test_op9_hides_what_a_browser_hides():
+    page = (
+        "<p>a<svg><title>no</title><defs><text>no</text></defs><text>x</text><text>y</text></svg>"
+        "<p><math><semantics><mi>m</mi><annotation>no</annotation></semantics></math>"
+        "<p><object data=u>o</object><audio>no</audio><video>no</video><canvas>no</canvas>"
+    )
+    assert html_text.page_text(page) == "a x y\n\nm\n\no"
