@@ -52,8 +52,8 @@ CUISINE_FEATURES = [
 # Tree growth settings: more nodes per pass over the data and node ids
 # cached with the data (fewer passes and less model broadcast for deep trees).
 # Label codes are numbers with thousands of values: candidate splits of a
-# feature are its 64-quantiles, twice as fine as by default.
-TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=64)
+# feature are its 256-quantiles; Spark's default of 32 is too coarse.
+TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=256)
 # Spark's limit; the reference grows classification trees without one.
 MAX_DEPTH = 30
 

@@ -21,3 +21,14 @@ def test_train_all_searches_with_the_operators_budget(spark, monkeypatch):
     monkeypatch.setattr(models, "train_all", seen)
     QUERIES["train_all"](spark, SF_SMALL)
     assert asked == [20]
+
+
+def test_trees_tell_200_codes_apart(spark):
+    rows = spark.range(20000).selectExpr("cast(id % 200 as double) AS label")
+    rows = rows.selectExpr(
+        "label",
+        *[f"{'label' if c == 'city_code' else '0.0'} AS {c}" for c in models.RATING_FEATURES],
+    )
+    fitted = models._rating_pipeline(1, 10, 42).fit(rows)
+    wrong = fitted.transform(rows).where("abs(prediction - label) > 1e-9").count()
+    assert wrong == 0
