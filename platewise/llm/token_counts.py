@@ -9,12 +9,12 @@ before it (see ``bpe``), counts relative to the whole.  Words with equal
 states share all that follows, so there are finitely many states.  Each state
 also has the tokens added if the word ends there.
 
-A long text is cut at fixed offsets into chunks.  A chunk's map takes the
-state in which it is entered to the state in which it is left and the tokens
-between: the part up to its first white space continues the entry state,
-what lies between is a constant, the part behind its last white space becomes
-the exit state.  Such maps compose associatively, and a balanced prefix scan
-over the chunks gives the text's count.
+A long text is cut at fixed offsets into chunks, which are composed by text at
+white space, not by states: a chunk gives the text up to its first white space,
+the tokens between, and the text behind its last white space (or itself, if it
+has none).  Neighbours join tail and head, whose words are counted then.  This
+composition is associative, and a balanced scan over the chunks of a text,
+inside its row, gives the text's count.
 
 Normalisation, splitting and special strings follow the tokenizer file: NFC,
 white space to spaces, lower case, then the split pattern; special strings in
