@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise.llm import (
+    centroids,
     decontaminate,
     html_text,
     licenses,
     preferences,
     quality,
+    ranking,
     repeats,
+    resampling,
     sentencepiece_codec,
     simhash,
     token_counts,
@@ -303,7 +306,7 @@ WITH p AS (
 ), known AS (
     SELECT page_id, bool_or(bad) AS bad
     FROM p JOIN doc_labels ON doc_id =
-        try_cast(regexp_extract(url, '/([0-9]+)[^0-9/?#]*([?#].*)?$', 1) AS BIGINT)
+        try_cast(regexp_extract(path, '/([0-9]+)[^0-9/]*/*$', 1) AS BIGINT)
     GROUP BY page_id
 ), counts AS (
     SELECT t.host, t.template, t.parent, coalesce(sum(k.n), 0) AS n, coalesce(sum(k.bad), 0) AS bad
@@ -339,3 +342,122 @@ SELECT page_id, s.host, path,
             WHEN rule IS NOT NULL OR rejected THEN 'block' ELSE 'allow' END AS verdict
 FROM s JOIN tree USING (host, shape) JOIN branch USING (host, template) JOIN judged USING (host, branch)
 """
+
+
+@query
+def op11_centroid_clustering(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, size=64)
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2("centroid", 256).alias("centroid_sha256"),
+    )
+
+
+def _kmeans_sql(clusters, rounds, size, seed):
+    """Plain k-means: every vector against every centroid, round by round."""
+    near = """a{r} AS (
+    SELECT k.i, min({{'d': list_sum(list_transform(list_zip(k.v, c.v),
+                                   lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS n
+    FROM kept k, c{r} c GROUP BY k.i
+)"""
+    mean = """, c{n} AS (
+    SELECT c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+        SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (
+            SELECT a.n.c AS c, j, sum(x)::HUGEINT AS s, count(*) AS n
+            FROM a{r} a JOIN component USING (i) GROUP BY ALL) GROUP BY c) m USING (c)
+), """
+    steps = "".join(near.format(r=r) + mean.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = {size}
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+), component AS (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM kept
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c,
+           v FROM kept QUALIFY c < {clusters}
+), {steps}{near.format(r=rounds)}, digest AS (
+    SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c{rounds}
+)
+SELECT vec_id, n.c::INT AS cluster, n.d::BIGINT AS distance,
+       sum(n.d) OVER (PARTITION BY n.c)::BIGINT AS cluster_inertia,
+       sum(n.d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (i) JOIN digest ON c = n.c
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _kmeans_sql(clusters=40, rounds=5, size=64, seed="2")
+
+
+@query
+def op12_importance_resampling(spark, sf_dir):
+    found = resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank"
+    )
+
+
+ORACLES["op12_importance_resampling"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM benchmark
+), said AS (
+    SELECT row_number() OVER () AS i, doc_id, w FROM d
+), spot AS (SELECT i, unnest(w) AS w FROM said
+), step AS (
+    SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:
+               CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+    FROM range(256) AS r(b)
+), bytes AS (
+    SELECT w, [4294967295] || list_transform(range(0, strlen(w)), lambda k:
+               ('0x' || substr(hex(encode(w)), (2 * k + 1)::INT, 2))::BIGINT) AS l
+    FROM (SELECT w FROM spot UNION SELECT w FROM b)
+), bucket AS MATERIALIZED (
+    SELECT w, xor(list_reduce(l, lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295)
+              % 10000 AS bucket
+    FROM bytes, step
+), s AS (SELECT bucket, count(*) AS s FROM spot JOIN bucket USING (w) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM b JOIN bucket USING (w) GROUP BY bucket
+), total AS (SELECT (SELECT count(*) FROM spot) AS ss, (SELECT count(*) FROM b) AS tt
+), gain AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0)::DOUBLE * (ss + 10000)
+                                   / ((s + 1.0)::DOUBLE * (tt + 10000))))::BIGINT AS gain
+    FROM total, s LEFT JOIN t USING (bucket)
+), weighed AS (
+    SELECT i, sum(gain) AS weight FROM spot JOIN bucket USING (w) JOIN gain USING (bucket) GROUP BY i
+), scored AS (
+    SELECT i, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+           ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM said LEFT JOIN weighed USING (i)
+), final AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+    FROM scored
+), drawn AS (
+    SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place,
+           10 * count(*) OVER () // 100 AS wanted
+    FROM final WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank
+FROM final LEFT JOIN drawn USING (i)
+"""
+
+
+@query
+def op13_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ranking.fit(docs, table(spark, sf_dir, "labels"))
+    return ranking.score_documents(docs, model, at=0.7).withColumnRenamed("id", "doc_id")

@@ -1,7 +1,9 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -102,3 +104,57 @@ def url_rule(host, path, rules):
         if (host == h or host.endswith("." + h)) and path.startswith(p)
     ]
     return max(fits)[1:] if fits else (None, None)
+
+
+def clusters(rows, k, rounds, size, seed):
+    """``rows``: (vec_id or None, list or None).  (vec_id, cluster, distance,
+    cluster inertia, inertia, centroid) per kept row, by plain search."""
+    kept = [
+        (i, [math.floor(x * 256) for x in v])
+        for i, v in rows
+        if v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    name = lambda i: hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+    means = [v for _, v in sorted(kept, key=lambda r: (name(r[0]), r[1]))[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, m)), c) for c, m in enumerate(means))
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(nearest(v)[1], []).append(v)
+        means = [
+            [sum(col) // len(groups[c]) for col in zip(*groups[c])] if c in groups else m
+            for c, m in enumerate(means)
+        ]
+    found = [(i, *nearest(v)[::-1]) for i, v in kept]
+    inertia = Counter()
+    for _, c, d in found:
+        inertia[c] += d
+    digest = [hashlib.sha256(",".join(map(str, m)).encode()).hexdigest() for m in means]
+    return [(i, c, d, inertia[c], sum(inertia.values()), digest[c]) for i, c, d in found]
+
+
+def resample(docs, target, percent, longest, buckets, least, seed):
+    """(id, n_features, weight, score, rank) per row of ``docs``."""
+
+    def found(text):
+        w = WORD.findall(lower(text))
+        runs = [" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+        return len(w), [zlib.crc32(r.encode()) % buckets for r in runs]
+
+    held = [(i, *found(t)) for i, t in docs]
+    s, t = Counter(b for _, _, f in held for b in f), Counter(b for x in target for b in found(x)[1])
+    top, low = sum(t.values()) + buckets, sum(s.values()) + buckets
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * low / ((s[b] + 1.0) * top)))
+    out = []
+    for i, n, f in held:
+        weight = sum(map(gain, f))
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append((i, n, len(f), weight, score))
+    able = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    drawn = percent * len(able) // 100
+    rows = [(r[0], *r[2:], k + 1 if k < drawn else None) for k, r in enumerate(able)]
+    return rows + [(r[0], *r[2:], None) for r in out if r[1] < least]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 CLASHING = (
     "id h w p k key fp e n mark raw spans words word bucket text2 q_text q_words n_words "
-    "gone_key repeat_key repeat_spans decon_h q_row component_id said host shape verdict"
+    "gone_key repeat_key repeat_spans decon_h q_row component_id said host shape verdict "
+    "score rank weight bucket x good most label features place part"
 ).split()
 
 
@@ -58,17 +59,31 @@ def odd(spark, tmp_path_factory):
     urls += ["https://www.example.com/en/1", "https://example.com/de/1", "x://b.net/fr/a?c", "a://b://c/d"]
     urls += ["http://bücher.ÄB.org/é/1", "http://h.org?q=/x", "http://h.org#a"]
     urls += [f"http://bad.org/spam/{i}.html" for i in range(20)]
-    urls += [f"http://bad.org/good/{i}" for i in range(20)]
+    # other documents than the spam pages, labelled good
+    urls += [f"http://bad.org/good/{i}" for i in range(500, 560)]
     urls += [f"http://wide.org/u/{a}{b}/p" for a in "abcdefgh" for b in "abcdefgh"]
     pages = [(i, u, None if i == 3 else f"<p>page {i}") for i, u in enumerate(urls)]
     pages += [pages[4], (None, "http://net/fr/", "<b>x")]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn(
         "host", F.lit(1)
     ).write.parquet(f"{folder}/pages.parquet")
-    labels = [(i, 1, 1) for i in range(20)] + [(None, 0, 0), (0, 1, 0)]
+    labels = [(i, 1, 1) for i in range(20)] + [(i, 1, 0) for i in range(500, 560)]
+    labels += [(None, 0, 0), (0, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(
         f"{folder}/labels.parquet"
     )
+    rng = random.Random(6)
+    near = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(6)]
+    vectors = [[x + rng.gauss(0, 0.1) for x in rng.choice(near)] for _ in range(80)]
+    vectors += [vectors[3]] * 40 + [[0.5] * 64, [0.5] * 63 + [-0.5], [0.0] * 64, [-0.0] * 64]
+    vectors += [None, [], [1.0] * 63, [1.0] * 65, [1.0] * 63 + [None], [None] * 64]
+    vectors += [[1.0] * 63 + [float(x)] for x in ("nan", "inf", "-inf")]
+    vectors = [(i * 7 % 1000, v) for i, v in enumerate(vectors)]
+    vectors += [vectors[0], (vectors[1][0], vectors[2][1]), (None, vectors[4][1]), (None, None)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    for c in ("id", "v", "c", "cluster", "distance", "label"):
+        frame = frame.withColumn(c, F.lit(7))
+    frame.write.parquet(f"{folder}/embeddings.parquet")
     chats = []
     for c in range(8):
         chats += [(c, 0, "user", "hi"), (c, 1, "assistant", f"answer {c // 3}"), (c, 2, "user", None)]
@@ -83,6 +98,6 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, odd, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "pages", "labels", "conversations"):
+    for name in ("documents", "embeddings", "benchmark", "pages", "labels", "conversations"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
