@@ -4,7 +4,10 @@ of their bucket counts and a Gumbel top-k draw.
 The bucket of a feature is the CRC-32 of its UTF-8 bytes modulo ``buckets``.  The
 distinct features of a slice of texts are grouped by length; the bytes of a group
 are one two-dimensional ``uint8`` array, whose CRCs are updated together, column by
-column, and the buckets are scattered back to all places of the features.
+column, and the buckets are scattered back to all places of the features.  Features
+longer than ``PIECE`` are cut into pieces of that length, which are one group; a
+CRC being linear, the pieces' registers are moved over the bytes behind them and
+added.
 
 Two scans of the corpus: bucket counts (a task adds its slices up and sends at
 most ``buckets`` rows, Spark adds those), then the documents' weights.  Only the
@@ -35,7 +38,9 @@ from platewise.llm.common import checkpointed
 # What stands between words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Bytes of text that are worked on at once; a longer text is alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+# Longer features are hashed in pieces of this many bytes.
+PIECE = 64
 
 
 def _crc_table() -> np.ndarray:
@@ -49,29 +54,87 @@ def _crc_table() -> np.ndarray:
 CRC_TABLE = _crc_table()
 
 
-def crc32_columns(matrix: np.ndarray) -> np.ndarray:
-    """CRC-32 of every row of a ``uint8`` matrix, column by column."""
-    crc = np.full(len(matrix), 0xFFFFFFFF, np.uint32)
+def crc32_columns(matrix: np.ndarray, start: int = 0xFFFFFFFF) -> np.ndarray:
+    """CRC registers after every row of a ``uint8`` matrix, column by column."""
+    crc = np.full(len(matrix), start, np.uint32)
     for column in np.ascontiguousarray(matrix.T):
         crc = CRC_TABLE[(crc ^ column) & 0xFF] ^ (crc >> np.uint32(8))
-    return crc ^ np.uint32(0xFFFFFFFF)
+    return crc
+
+
+class _Zeros:
+    """What PIECE x 2^j zero bytes make of a CRC register: a linear map, kept
+    as one table per byte of the register."""
+
+    def __init__(self):
+        images = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        for _ in range(PIECE):
+            images = CRC_TABLE[images & 0xFF] ^ (images >> np.uint32(8))
+        self.images, self.tables = images, []
+
+    def _table(self, j: int) -> np.ndarray:
+        while len(self.tables) <= j:
+            value, table = np.arange(256), np.zeros((4, 256), np.uint32)
+            for bit in range(32):
+                table[bit // 8] ^= np.where(value >> bit % 8 & 1, self.images[bit], 0).astype(np.uint32)
+            self.tables.append(table)
+            self.images = self._mapped(table, self.images)  # twice the bytes
+        return self.tables[j]
+
+    @staticmethod
+    def _mapped(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+        out = table[0][crc & 0xFF]
+        for byte in (1, 2, 3):
+            out = out ^ table[byte][crc >> np.uint32(8 * byte) & 0xFF]
+        return out
+
+    def after(self, crc: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """The registers ``crc`` after PIECE x ``pieces`` zero bytes each."""
+        for j in range(int(pieces.max(initial=0)).bit_length()):
+            some = pieces >> j & 1 == 1
+            crc[some] = self._mapped(self._table(j), crc[some])
+        return crc
+
+
+ZEROS = _Zeros()
+
+
+def _crc32_long(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32 of texts longer than PIECE: a matrix of pieces of equal length,
+    whose registers are moved to the end of their text and added up.
+
+    Zero bytes in front leave a zero register as it is, and a register that starts with
+    all bits set is one that starts with zero on a text whose first four bytes are inverted."""
+    count = -(-lengths // PIECE)
+    first = np.cumsum(count) - count
+    padded = np.zeros(int(count.sum()) * PIECE, np.uint8)
+    for start, size, end in zip(starts, lengths, (first + count) * PIECE):
+        padded[end - size : end] = data[start : start + size]
+        padded[end - size : end - size + 4] ^= 0xFF
+    crc = crc32_columns(padded.reshape(-1, PIECE), 0)
+    behind = np.repeat(first + count, count) - np.arange(len(crc)) - 1
+    return np.bitwise_xor.reduceat(ZEROS.after(crc, behind), first)
 
 
 def crc32_all(texts: pa.Array) -> np.ndarray:
-    """CRC-32 of the UTF-8 bytes of every text (none null), by length."""
+    """CRC-32 of the UTF-8 bytes of every text (none null), by length; texts
+    longer than PIECE bytes are cut into pieces of that length."""
     texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
+    out = np.full(len(texts), 0xFFFFFFFF, np.uint32)
     if data is None:  # nothing but empty texts
-        return np.zeros(len(texts), np.uint32)
+        return ~out
     starts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8)
     lengths = np.diff(starts)
-    out = np.zeros(len(texts), np.uint32)
     by_length = np.argsort(lengths, kind="stable")
+    by_length, long = np.split(by_length, [np.searchsorted(lengths[by_length], PIECE, "right")])
     for group in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
         if len(group) and lengths[group[0]]:
             out[group] = crc32_columns(data[starts[group][:, None] + np.arange(lengths[group[0]])])
-    return out
+    if len(long):
+        out[long] = _crc32_long(data, starts[long], lengths[long])
+    return ~out
 
 
 def _slices(batch):

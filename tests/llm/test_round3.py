@@ -97,7 +97,7 @@ def test_op12(spark, odd):
     assert Counter(got) == Counter(want)
 
 
-@pytest.mark.parametrize("slice_bytes", [4 << 20, 50])
+@pytest.mark.parametrize("slice_bytes", [1 << 19, 50])
 def test_op12_runs_of_words(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(resampling, "SLICE_BYTES", slice_bytes)
     rng = random.Random(9)
