@@ -30,6 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,12 +261,11 @@ def gumbel(id_col: Column, seed: str) -> Column:
 def draw(scored: DataFrame, percent: int, least_words: int) -> DataFrame:
     """Adds ``rank``, 1 and up by score (ties: smaller id) for the best
     ``percent`` of the rows with at least ``least_words`` words, else null."""
-    scored = checkpointed(scored)
-    able = scored.where(F.col("n_words") >= least_words)
-    rest = scored.where(F.col("n_words") < least_words)
-    wanted = percent * able.count() // 100
-    ordered = able.withColumn("row", F.monotonically_increasing_id()).orderBy(
-        F.desc("score"), F.asc_nulls_last("id"), "row"
+    kept = scored.withColumn("able", F.col("n_words") >= least_words)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)  # narrow; lost blocks are computed again
+    wanted = percent * kept.where("able").count() // 100
+    ordered = kept.withColumn("row", F.monotonically_increasing_id()).orderBy(
+        F.desc("able"), F.desc("score"), F.asc_nulls_last("id"), "row"
     )
     # sorted once: numbers and sizes come from the same written partitions
     placed = checkpointed(
@@ -273,15 +273,16 @@ def draw(scored: DataFrame, percent: int, least_words: int) -> DataFrame:
             {"part": F.spark_partition_id(), "mark": F.monotonically_increasing_id()}
         )
     )
+    kept.unpersist()
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.col("mark") - F.shiftleft(F.col("part").cast("bigint"), 33) + F.col("offset") + 1
-    ranked = placed.join(F.broadcast(offsets), "part").select(
-        *scored.columns, F.when(place <= wanted, place).alias("rank")
+    drawn = F.col("able") & (place <= wanted)
+    return placed.join(F.broadcast(offsets), "part").select(
+        *scored.columns, F.when(drawn, place).alias("rank")
     )
-    return ranked.unionByName(rest.withColumn("rank", F.lit(None).cast("bigint")))
 
 
 def resample(
