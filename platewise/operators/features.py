@@ -83,6 +83,49 @@ def encode(
     return out
 
 
+# Values of one digit: as many as a forest's candidate splits tell apart.
+DIGIT_BASE = 256
+
+
+def code_digits(codes: DataFrame, columns: Sequence[str], base: int = DIGIT_BASE) -> dict[str, int]:
+    """Digits to the given base that the codes of each column need (one row per column; the
+    next free code, for unseen values, included)."""
+    sizes = codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    known = {r.feature: r.n for r in sizes.collect()}
+    out = {}
+    for c in columns:
+        out[c] = 1
+        while base ** out[c] <= known.get(c, 0):
+            out[c] += 1
+    return out
+
+
+def with_digits(
+    df: DataFrame, digits: dict[str, int], suffix: str = "_code", base: int = DIGIT_BASE
+) -> DataFrame:
+    """K4: every code as digits ``<column>_code_0`` (the highest), ``_1``...
+    A threshold over the codes is a few thresholds over digits, so a tree can tell any
+    two codes apart with ``base`` candidate splits a feature."""
+    columns = {}
+    for c, n in digits.items():
+        for i in range(n):
+            digit = F.floor(F.col(c + suffix) / base ** (n - 1 - i)) % base
+            columns[f"{c}{suffix}_{i}"] = digit.cast("double")
+    return df.withColumns(columns)
+
+
+def digit_columns(names: Sequence[str], digits: dict[str, int], suffix: str = "_code") -> list[str]:
+    """Feature names with every code replaced by its digits."""
+    out = []
+    for name in names:
+        column = name.removesuffix(suffix)
+        if name.endswith(suffix) and column in digits:
+            out += [f"{name}_{i}" for i in range(digits[column])]
+        else:
+            out.append(name)
+    return out
+
+
 def row_hash(id_col: str, seed: int = SEED) -> Column:
     """Repeatable pseudo-random order of rows: md5 of (id, seed), hex."""
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))

@@ -2,16 +2,13 @@
 
 ``filter_venues`` is the single request form.  The batch form, one plan for a
 table of requests, is ``platewise.operators.similarity.recommend``: it joins
-on the same values, made by the functions here.
+on the same values.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from platewise.operators.common import recommendation_rules
 
@@ -21,28 +18,6 @@ def yes_no(flag: Column) -> Column:
     return F.when(flag, F.lit("yes")).when(~flag, F.lit("no"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def matched_patterns(texts, patterns):
-    """C2 for a batch: the patterns that occur in each text, ignoring case.
-    A pattern that is not a valid regular expression matches nothing, so it
-    affects only its own request.  Meant for distinct texts."""
-    import pandas as pd
-
-    known: dict[str, re.Pattern | None] = {}
-
-    def matches(pattern: str, text: str) -> bool:
-        if pattern not in known:
-            try:
-                known[pattern] = re.compile(pattern, re.IGNORECASE)
-            except re.error:
-                known[pattern] = None
-        compiled = known[pattern]
-        return compiled is not None and compiled.search(text) is not None
-
-    found = [[p for p in ps if matches(p, t)] for t, ps in zip(texts, patterns)]
-    return pd.Series(found, index=texts.index, dtype=object)
-
-
 def filter_venues(
     venues: DataFrame,
     city: str | None = None,

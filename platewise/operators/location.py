@@ -268,6 +268,42 @@ def grid_clusters(venues: DataFrame, cell: float = 1.0) -> DataFrame:
     )
 
 
+def map_pyramid(venues: DataFrame, levels: int = 7, widest: float = 16.0) -> DataFrame:
+    """E10 at all zoom levels: the cells of level 0 are ``widest`` degrees,
+    those of every further level half of that.  Per level and cell: count, mean
+    rating, centre and extent (a click on a cluster zooms to it).
+
+    GROUPING SETS over the nested cell numbers: one shuffle for all levels, and
+    each task sends one partial row per cell and level that it has seen."""
+    loc = location_rules(venues).na.drop(subset=["latitude", "longitude"])
+    names, sets = {}, []
+    for level in range(levels):
+        cell = widest / 2**level
+        pair = [f"lat_{level}", f"lng_{level}"]
+        names |= {c: F.floor(F.col(a) / cell) for c, a in zip(pair, ("latitude", "longitude"))}
+        sets.append(pair)
+    keys = [c for pair in sets for c in pair]
+    grouped = loc.select("rating", "latitude", "longitude", *[v.alias(c) for c, v in names.items()])
+    summed = grouped.groupingSets([[F.col(c) for c in pair] for pair in sets], *keys).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg("rating").alias("avg_rating"),
+        F.avg("latitude").alias("center_lat"),
+        F.avg("longitude").alias("center_lng"),
+        F.min("latitude").alias("south"),
+        F.max("latitude").alias("north"),
+        F.min("longitude").alias("west"),
+        F.max("longitude").alias("east"),
+    )
+    # cell numbers are never null: the set of a row is the one that is not
+    level = F.coalesce(*[F.when(F.col(lat).isNotNull(), i) for i, (lat, _) in enumerate(sets)])
+    return summed.select(
+        level.alias("level"),
+        F.coalesce(*[lat for lat, _ in sets]).alias("cell_lat"),
+        F.coalesce(*[lng for _, lng in sets]).alias("cell_lng"),
+        "count", "avg_rating", "center_lat", "center_lng", "south", "north", "west", "east",
+    )
+
+
 def city_share(venues: DataFrame) -> DataFrame:
     """per known city, % of all venues (the total counts 'Unknown' too)
     and % of the largest city.  Totals come from one-row scalar subqueries

@@ -13,9 +13,8 @@ and random streams); only invariants are checked.
 
 from __future__ import annotations
 
-import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -28,14 +27,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import clamp, to_number, yes_no_flag
+from platewise.operators import nested
 from platewise.operators.features import (
+    code_digits,
+    digit_columns,
     encode,
     label_codes,
     split_plain,
     split_stratified,
     top_classes,
+    with_digits,
 )
 from platewise.operators.metrics import class_metrics, per_class_metrics, regression_metrics
+from platewise.operators.search import adaptive_search
 from platewise.operators.similarity import fit_recommender
 from platewise.schema import UNKNOWN
 
@@ -51,9 +55,13 @@ CUISINE_FEATURES = [
 
 # Tree growth settings: more nodes per pass over the data and node ids
 # cached with the data (fewer passes and less model broadcast for deep trees).
-# Label codes are numbers with thousands of values: candidate splits of a
-# feature are its 256-quantiles; Spark's default of 32 is too coarse.
+# Candidate splits of a feature are its 256-quantiles.  Label codes are digits to the
+# base 256, so any threshold over them is reached by a few splits.
 TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=256)
+# Fits side by side share memory and cores: smaller passes, and, as every task sends
+# the statistics of all nodes of a pass, tasks of at least so many rows.
+SHARED_MEMORY_MB = 256
+ROWS_PER_TASK = 50_000
 # Spark's limit; the reference grows classification trees without one.
 MAX_DEPTH = 30
 
@@ -109,14 +117,20 @@ class RatingModel:
     codes: DataFrame
     pipeline: PipelineModel
     metrics: DataFrame | None = None
+    digits: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.digits = self.digits or code_digits(self.codes, RATING_CATEGORICAL)
 
     @property
     def forest(self):
         return self.pipeline.stages[-1]
 
     def importances(self) -> DataFrame:
-        """Feature importances (sum 1), largest first."""
-        return feature_importances(self.pipeline, RATING_FEATURES)
+        """Feature importances (sum 1), largest first; those of a code's
+        digits are added up."""
+        names = digit_columns(RATING_FEATURES, self.digits)
+        return feature_importances(self.pipeline, names, RATING_FEATURES)
 
     def save(self, path: str) -> None:
         """A4: code table and metrics as parquet, the pipeline with its
@@ -135,30 +149,60 @@ class RatingModel:
         )
 
 
-def _rating_pipeline(num_trees: int, max_depth: int, seed: int) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=RATING_FEATURES, outputCol="features"),
-            RandomForestRegressor(
-                labelCol="label",
-                featuresCol="features",
-                numTrees=num_trees,
-                maxDepth=max_depth,
-                seed=seed,
-                # the reference's forest considers every feature at each split
-                featureSubsetStrategy="all",
-                **TREE_SETTINGS,
-            ),
-        ]
+def _rating_assembler(digits: dict) -> VectorAssembler:
+    return VectorAssembler(inputCols=digit_columns(RATING_FEATURES, digits), outputCol="features")
+
+
+def _rating_forest(num_trees: int, max_depth: int, seed: int) -> RandomForestRegressor:
+    return RandomForestRegressor(
+        labelCol="label",
+        featuresCol="features",
+        numTrees=num_trees,
+        maxDepth=max_depth,
+        seed=seed,
+        # the reference's forest considers every feature at each split
+        featureSubsetStrategy="all",
+        **TREE_SETTINGS,
     )
 
 
-def prepare_rating(venues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Encoded rating rows with the plain split, and the code table (fit
+@dataclass
+class RatingRows:
+    """What every fit of the rating model reads: one kept table of vectors."""
+
+    codes: DataFrame
+    digits: dict
+    rows: DataFrame
+
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.where(F.col("split") == "train")
+
+    def train_in_few_tasks(self) -> DataFrame:
+        """The training part for fits that run side by side."""
+        return self.train.coalesce(max(1, -(-self.rows.count() // ROWS_PER_TASK)))
+
+    def fit(self, num_trees: int, max_depth: int, seed: int) -> "RatingModel":
+        """L1, with train and test metrics (M1) of the fitted model."""
+        forest = _rating_forest(num_trees, max_depth, seed).fit(self.train)
+        scored = forest.transform(self.rows).select("split", "label", "prediction")
+        metrics = _small(regression_metrics(scored, group="split"))
+        pipeline = PipelineModel([_rating_assembler(self.digits), forest])
+        return RatingModel(self.codes, pipeline, metrics, self.digits)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def prepare_rating(venues: DataFrame) -> RatingRows:
+    """Rating rows as vectors, with the plain split, and the code table (fit
     on all rows, as the reference fits its encoders before splitting)."""
     rows = rating_features(venues)
     codes = label_codes(rows, RATING_CATEGORICAL)
-    return split_plain(encode(rows, codes, RATING_CATEGORICAL), "venue_id"), codes
+    digits = code_digits(codes, RATING_CATEGORICAL)
+    rows = with_digits(encode(rows, codes, RATING_CATEGORICAL), digits)
+    vectors = _rating_assembler(digits).transform(split_plain(rows, "venue_id"))
+    return RatingRows(codes, digits, _training_rows(vectors.select("split", "label", "features")))
 
 
 def train_rating_model(
@@ -166,13 +210,10 @@ def train_rating_model(
 ) -> RatingModel:
     """L1: random forest on the training split; train and test metrics (M1)
     from the fitted model's predictions."""
-    rows, codes = prepare_rating(venues)
-    rows = _training_rows(rows)
-    pipeline = _rating_pipeline(num_trees, max_depth, seed).fit(rows.where(F.col("split") == "train"))
-    scored = pipeline.transform(rows)
-    metrics = _small(regression_metrics(scored.select("split", "label", "prediction"), group="split"))
-    rows.unpersist()
-    return RatingModel(codes, pipeline, metrics)
+    kept = prepare_rating(venues)
+    model = kept.fit(num_trees, max_depth, seed)
+    kept.release()
+    return model
 
 
 def predict_rating(model: RatingModel, requests: DataFrame) -> DataFrame:
@@ -199,7 +240,7 @@ def predict_rating(model: RatingModel, requests: DataFrame) -> DataFrame:
         }
     )
     encoded = encode(feats, model.codes, RATING_CATEGORICAL)
-    scored = model.pipeline.transform(encoded)
+    scored = model.pipeline.transform(with_digits(encoded, model.digits))
     keep = [c for c in requests.columns]
     return scored.select(*keep, clamp(F.col("prediction"), 0.0, 5.0).alias("predicted_rating"))
 
@@ -220,12 +261,17 @@ def score_distinct(model: RatingModel, requests: DataFrame, keys: list[str] | No
     return requests.join(scored, cond).select(*requests.columns, "predicted_rating")
 
 
-def feature_importances(pipeline: PipelineModel, names: list[str]) -> DataFrame:
+def feature_importances(
+    pipeline: PipelineModel, columns: list[str], names: list[str]
+) -> DataFrame:
     """(feature, importance, rank) from the fitted forest; the
-    importances are the model's own small vector, one value per feature."""
+    importances are the model's own small vector, one value per column.  The
+    columns of one feature (itself or its digits) are added up."""
     spark = SparkSession.getActiveSession()
-    values = pipeline.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    values = dict.fromkeys(names, 0.0)
+    for column, value in zip(columns, pipeline.stages[-1].featureImportances.toArray().tolist()):
+        values[column if column in values else column.rsplit("_", 1)[0]] += value
+    df = spark.createDataFrame(list(values.items()), "feature string, importance double")
     # at most one row per feature: a global window over a handful of rows
     rank = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
     return df.withColumn("rank", rank)
@@ -237,34 +283,46 @@ def tune_rating(
     trees: tuple[int, int] = (50, 200),
     depth: tuple[int, int] = (5, 20),
     seed: int = SEED,
-    parallelism: int = 4,
+    parallelism: int = 8,
+    shared: bool = True,
 ) -> tuple[DataFrame, RatingModel]:
-    """Random search over trees and depth.  ``n_trials`` different tries
-    (as many as there are values, if those are fewer) are fitted on the
-    training split and scored by R² on the test split (K3); returns one row
-    per try, the best first, and the model trained with the best values."""
-    rows, _ = prepare_rating(venues)
-    rows = _training_rows(rows)
-    train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
-    values = (trees[1] - trees[0] + 1) * (depth[1] - depth[0] + 1)
-    picks = random.Random(seed).sample(range(values), min(n_trials, values))
-    width = depth[1] - depth[0] + 1
-    tries = [(trees[0] + p // width, depth[0] + p % width) for p in picks]
+    """Adaptive search over trees and depth (``operators.search``).
+    ``n_trials`` different tries (as many as there are values, if those are
+    fewer) are scored by R² on the test split (K3); returns one row per try, the
+    best first, and the model trained with the best values.
+
+    ``shared``: the tries read their scores off one forest of the most trees and
+    the greatest depth, grown in ``parallelism`` groups side by side
+    (``operators.nested``).  Otherwise every try is a fit of its own, ``parallelism``
+    of them side by side, and a free worker takes the next proposal."""
+    kept = prepare_rating(venues)
+    test = kept.rows.where(F.col("split") == "test")
     evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2")
-
-    def score(values: tuple[int, int]) -> float:
-        fitted = _rating_pipeline(*values, seed).fit(train)
-        return float(evaluator.evaluate(fitted.transform(test)))
-
-    with ThreadPoolExecutor(parallelism) as pool:  # Spark jobs side by side
-        scores = list(pool.map(score, tries))
-    rows.unpersist()
+    train = kept.train_in_few_tasks()
+    side_by_side = lambda *size: _rating_forest(*size).setMaxMemoryInMB(SHARED_MEMORY_MB)
+    known = {}
+    if shared:
+        grown = nested.grow(side_by_side, train, trees[1], depth[1], seed, parallelism)
+        known = nested.r2_scores(grown, test, depth[1])
+
+    def score(num_trees: int, max_depth: int) -> float:
+        if shared:
+            return known.get((num_trees, max_depth), 0.0)  # 0 without test rows
+        forest = side_by_side(num_trees, max_depth, seed).fit(train)
+        return float(evaluator.evaluate(forest.transform(test)))
+
+    tries = adaptive_search(
+        score, {"num_trees": trees, "max_depth": depth}, n_trials, seed, 1 if shared else parallelism
+    )
     results = venues.sparkSession.createDataFrame(
-        [(n, d, r2) for (n, d), r2 in zip(tries, scores)], "num_trees int, max_depth int, r2 double"
+        [(v["num_trees"], v["max_depth"], r2) for v, r2 in tries],
+        "num_trees int, max_depth int, r2 double",
     )
-    _, (n, d) = max(zip(scores, tries), key=lambda x: (x[0], -x[1][0], -x[1][1]))
-    best = train_rating_model(venues, n, d, seed)
-    return results.orderBy(F.desc("r2"), "num_trees", "max_depth"), best
+    # ties: the smaller forest
+    best, _ = max(tries, key=lambda t: (t[1], -t[0]["num_trees"], -t[0]["max_depth"]))
+    model = kept.fit(best["num_trees"], best["max_depth"], seed)
+    kept.release()
+    return results.orderBy(F.desc("r2"), "num_trees", "max_depth"), model
 
 
 # ---- cuisine classification -----------------------------------------------------
@@ -292,6 +350,10 @@ class CuisineModel:
     pipeline: PipelineModel
     metrics: DataFrame | None = None
     per_class: DataFrame | None = None
+    digits: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.digits = self.digits or code_digits(self.city_codes, ["city"])
 
     def save(self, path: str) -> None:
         self.city_codes.write.mode("overwrite").parquet(f"{path}/city_codes")
@@ -323,10 +385,11 @@ def train_cuisine_model(
     class_codes = label_codes(rows, ["cuisine"])
     rows = encode(rows, city_codes, ["city"])
     rows = encode(rows, class_codes, ["cuisine"]).withColumn("label", F.col("cuisine_code").cast("double"))
-    rows = _training_rows(split_stratified(rows, "venue_id", "cuisine"))
+    digits = code_digits(city_codes, ["city"])
+    rows = _training_rows(split_stratified(with_digits(rows, digits), "venue_id", "cuisine"))
     pipeline = Pipeline(
         stages=[
-            VectorAssembler(inputCols=CUISINE_FEATURES, outputCol="features"),
+            VectorAssembler(inputCols=digit_columns(CUISINE_FEATURES, digits), outputCol="features"),
             RandomForestClassifier(
                 labelCol="label", featuresCol="features", numTrees=num_trees,
                 maxDepth=max_depth, seed=seed, **TREE_SETTINGS,
@@ -343,6 +406,7 @@ def train_cuisine_model(
         pipeline,
         _small(class_metrics(pairs, group="split")),
         _small(per_class_metrics(pairs.where(F.col("split") == "test"))),
+        digits,
     )
     rows.unpersist()
     return model
@@ -360,7 +424,8 @@ def predict_cuisine(model: CuisineModel, requests: DataFrame, top: int = 3) -> D
             "votes": F.col("votes").cast("double"),
         }
     )
-    scored = model.pipeline.transform(encode(req, model.city_codes, ["city"]))
+    coded = with_digits(encode(req, model.city_codes, ["city"]), model.digits)
+    scored = model.pipeline.transform(coded)
     probs = scored.select(
         "request_id", F.posexplode(vector_to_array("probability")).alias("code", "p")
     )
@@ -375,6 +440,27 @@ def predict_cuisine(model: CuisineModel, requests: DataFrame, top: int = 3) -> D
     )
 
 
+def rating_insights(model: RatingModel) -> DataFrame:
+    """M2: metrics of both splits (accuracy is R² in %) and feature importances
+    of a trained rating model, as (task, split, metric, value) rows."""
+    metrics = model.metrics.select(
+        F.lit("rating").alias("task"),
+        "split",
+        F.explode(
+            F.create_map(
+                F.lit("mse"), F.col("mse"), F.lit("rmse"), F.col("rmse"),
+                F.lit("mae"), F.col("mae"), F.lit("r2"), F.col("r2"),
+                F.lit("accuracy_pct"), F.col("r2") * 100,
+            )
+        ).alias("metric", "value"),
+    )
+    importances = model.importances().select(
+        F.lit("rating").alias("task"), F.lit("model").alias("split"),
+        F.concat(F.lit("importance_"), F.col("feature")).alias("metric"), F.col("importance").alias("value"),
+    )
+    return metrics.unionByName(importances)
+
+
 # ---- all three tasks ------------------------------------------------------------
 
 
@@ -389,8 +475,10 @@ def train_all(
     fit the recommender; with ``path`` all three are saved below it.  Returns
     (task, split, metric, value) rows; those of the recommender count venues,
     cities, cuisine items and the terms of its vocabulary."""
-    tried, rating = tune_rating(venues, n_trials, seed=seed)
-    cuisine = train_cuisine_model(venues, cuisine_trees, seed=seed)
+    with ThreadPoolExecutor(2) as pool:  # the two trainings side by side
+        forest = pool.submit(train_cuisine_model, venues, cuisine_trees, seed=seed)
+        tried, rating = tune_rating(venues, n_trials, seed=seed)
+        cuisine = forest.result()
     recommender = fit_recommender(venues)
     if path is not None:
         rating.save(f"{path}/rating")
@@ -405,17 +493,6 @@ def train_all(
             )
         ).alias("metric", "value"),
     )
-    rm = rating.metrics.select(
-        F.lit("rating").alias("task"),
-        "split",
-        F.explode(
-            F.create_map(
-                F.lit("mse"), F.col("mse"), F.lit("rmse"), F.col("rmse"),
-                F.lit("mae"), F.col("mae"), F.lit("r2"), F.col("r2"),
-                F.lit("accuracy_pct"), F.col("r2") * 100,
-            )
-        ).alias("metric", "value"),
-    )
     metric_cols = [
         "accuracy", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted",
         "f1_macro", "f1_weighted",
@@ -427,10 +504,6 @@ def train_all(
             "metric", "value"
         ),
     )
-    imp = rating.importances().select(
-        F.lit("rating").alias("task"), F.lit("model").alias("split"),
-        F.concat(F.lit("importance_"), F.col("feature")).alias("metric"), F.col("importance").alias("value"),
-    )
     items = venues.select(
         F.explode(F.split(F.coalesce(F.col("cuisines"), F.lit(UNKNOWN)), ",")).alias("c")
     ).select(F.trim("c").alias("c"))
@@ -446,5 +519,5 @@ def train_all(
                                recommender.idf.agg(F.count(F.lit(1))).scalar().cast("double")))
         .alias("metric", "value"),
     )
-    return best.unionByName(rm).unionByName(cm).unionByName(imp).unionByName(rec)
+    return best.unionByName(rating_insights(rating)).unionByName(cm).unionByName(rec)
 

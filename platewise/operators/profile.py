@@ -22,11 +22,21 @@ def class_distribution(venues: DataFrame) -> DataFrame:
     return counts.select("main_cuisine", "count", (F.col("count") / total).alias("share"))
 
 
+# Fixed values: (min, max, mean) of a form field whose column is absent.
+DEFAULT_RANGES = {"votes": (0, 10000, 100), "avg_cost": (0, 5000, 500)}
+
+
 def numeric_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Min, max and truncated mean of numeric columns, one row per
-    column.  One aggregate pass, reshaped with ``stack``."""
+    column; an absent column has its ``DEFAULT_RANGES`` (else nulls).  One aggregate
+    pass, reshaped with ``stack``."""
     aggs = []
     for c in columns:
+        if c not in df.columns:
+            fixed = DEFAULT_RANGES.get(c, (None, None, None))
+            names = (f"{c}__min", f"{c}__max", f"{c}__avg")
+            aggs += [F.max(F.lit(x).cast("bigint")).alias(n) for x, n in zip(fixed, names)]
+            continue
         value = F.col(c).try_cast("double")
         aggs += [
             F.min(value).cast("bigint").alias(f"{c}__min"),
@@ -66,6 +76,41 @@ def distinct_counts(venues: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+# Sketches of 2^12 registers: a standard error of 1.6 % at any count.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+COUNTED = ("venue_name", "locality", "rest_type", "cuisine")
+
+
+def distinct_sketches(venues: DataFrame, keys: Sequence[str] = ("city", "price_range")) -> DataFrame:
+    """E8, mergeable: per group of ``keys`` one sketch of the distinct values
+    of each of ``COUNTED``.  Store it once; ``distinct_estimates`` then serves any
+    coarser grouping without another scan of the venues.
+
+    A sketch is a partial aggregate of fixed size, so a group with a third
+    of all rows moves as little as any other."""
+    df = venues.withColumns(
+        {
+            "city": F.coalesce(F.col("city"), F.lit(UNKNOWN)),
+            "cuisines": F.coalesce(F.col("cuisines"), F.lit(UNKNOWN)),
+        }
+    )
+    one = df.groupBy(*keys).agg(
+        *[F.hll_sketch_agg(c, SKETCH_BITS).alias(c) for c in COUNTED if c != "cuisine"]
+    )
+    items = df.select(*keys, F.explode(cuisine_items("cuisines")).alias("cuisine"))
+    many = items.groupBy(*keys).agg(F.hll_sketch_agg("cuisine", SKETCH_BITS).alias("cuisine"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return one.alias("a").join(many.alias("b"), same).select("a.*", "cuisine")
+
+
+def distinct_estimates(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct counts per group of ``keys`` (a part of the keys of
+    the sketches; none: over all), from united sketches."""
+    united = sketches.groupBy(*keys).agg(*[F.hll_union_agg(c).alias(c) for c in COUNTED])
+    return united.select(*keys, *[F.hll_sketch_estimate(c).alias(c) for c in COUNTED])
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-null values of a column."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

@@ -200,6 +200,37 @@ FROM loc WHERE latitude IS NOT NULL AND longitude IS NOT NULL
 GROUP BY 1, 2
 """)
 
+_CELLS = "\nUNION ALL ".join(
+    f"""SELECT {level} AS level,
+       CAST(floor(latitude / {16.0 / 2**level}) AS BIGINT) AS cell_lat,
+       CAST(floor(longitude / {16.0 / 2**level}) AS BIGINT) AS cell_lng,
+       count(*) AS "count",
+       round(avg(rating), 6) AS avg_rating,
+       round(avg(latitude), 6) AS center_lat,
+       round(avg(longitude), 6) AS center_lng,
+       min(latitude) AS south, max(latitude) AS north,
+       min(longitude) AS west, max(longitude) AS east
+FROM loc WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 2, 3"""
+    for level in range(7)
+)
+ORACLES["map_pyramid"] = with_venues(_CELLS)
+
+_COUNTED = ("venue_name", "locality", "rest_type", "cuisine")
+_DISTINCT = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS grouping, {value} AS value, '{c}' AS counted,
+       count(DISTINCT {c}) AS n_distinct, true AS within
+FROM items GROUP BY 2"""
+    for name, value in (("city", "city"), ("price_range", "CAST(price_range AS VARCHAR)"), ("all", "'all'"))
+    for c in _COUNTED
+)
+ORACLES["distinct_sketches"] = with_venues("""
+items AS (
+    SELECT coalesce(city, 'Unknown') AS city, price_range, venue_name, locality, rest_type,
+           trim(unnest(string_split(coalesce(cuisines, 'Unknown'), ','))) AS cuisine
+    FROM v
+)
+""" + _DISTINCT)
+
 ORACLES["city_share"] = with_venues("""
 bc AS (SELECT city, count(*) AS n FROM loc GROUP BY city)
 SELECT city, n AS "count",
@@ -692,6 +723,18 @@ LEFT JOIN ncat n ON n.category = b.category
 """)
 
 
+def dictionary_oracle(rows: str) -> str:
+    """``keyword_oracle`` over a dictionary query ``rows``."""
+    sql = keyword_oracle([("", ["x"])])
+    start, end = sql.index("SELECT * FROM (VALUES"), sql.index("ncat AS")
+    return sql[:start] + rows + "\n),\n" + sql[end:]
+
+
+ORACLES["page_keywords_words"] = dictionary_oracle("""
+    SELECT DISTINCT 'group_' || (ascii(keyword) % 10) AS category, ascii(keyword) % 10 AS ord, keyword
+    FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS keyword FROM documents)""")
+
+
 def _keyword_oracles():
     from platewise.plans.registry import WORD_PIECES
     from platewise.schema import CUISINE_KEYWORDS

@@ -49,6 +49,7 @@ def _city_stats(spark, sf_dir):
 
 
 # ---- location (E1-E4, E9, E10, F1, F2, G1-G4, C10) -------------------------
+from platewise.functions import expressions  # noqa: E402
 from platewise.operators import cleaning, filters, profile  # noqa: E402
 
 SEARCH_TERM = "nation_1"
@@ -80,6 +81,11 @@ def _grid_clusters(spark, sf_dir):
     return location.grid_clusters(venues(spark, sf_dir), 1.0)
 
 
+@register("map_pyramid")
+def _map_pyramid(spark, sf_dir):
+    return location.map_pyramid(venues(spark, sf_dir), levels=7, widest=16.0)
+
+
 @register("city_share")
 def _city_share(spark, sf_dir):
     return location.city_share(venues(spark, sf_dir))
@@ -139,6 +145,41 @@ def _distinct_counts(spark, sf_dir):
     return profile.distinct_counts(venues(spark, sf_dir))
 
 
+@register("distinct_sketches")
+def _distinct_sketches(spark, sf_dir):
+    """Estimates from united sketches beside exact counts, for three
+    groupings: are they within four standard errors (and one)?"""
+    v = venues(spark, sf_dir)
+    sketches = profile.distinct_sketches(v, ["city", "price_range"])
+    filled = v.withColumns(
+        {c: F.coalesce(F.col(c), F.lit("Unknown")) for c in ("city", "cuisines")}
+    ).withColumn("cuisine", F.explode(expressions.cuisine_items("cuisines")))
+    out = None
+    for keys in (["city"], ["price_range"], []):
+        exact = filled.groupBy(*keys).agg(*[F.count_distinct(c).alias(c) for c in profile.COUNTED])
+        both = [
+            df.select(
+                F.lit(keys[0] if keys else "all").alias("grouping"),
+                (F.col(keys[0]).cast("string") if keys else F.lit("all")).alias("value"),
+                F.explode(F.create_map(*[x for c in profile.COUNTED for x in (F.lit(c), F.col(c))])).alias(
+                    "counted", name
+                ),
+            )
+            for df, name in ((profile.distinct_estimates(sketches, keys), "estimate"), (exact, "n_distinct"))
+        ]
+        same = (
+            F.col("e.value").eqNullSafe(F.col("x.value")) & (F.col("e.counted") == F.col("x.counted"))
+        )
+        rows = both[0].alias("e").join(both[1].alias("x"), same)
+        off = F.abs(F.col("estimate") - F.col("n_distinct"))
+        rows = rows.select(
+            "x.grouping", "x.value", "x.counted", "n_distinct",
+            (off <= 4 * profile.SKETCH_ERROR * F.col("n_distinct") + 1).alias("within"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("distinct_cities")
 def _distinct_cities(spark, sf_dir):
     return profile.distinct_values(venues(spark, sf_dir), "city")
@@ -298,7 +339,7 @@ def _recommend_empty(spark, sf_dir):
 
 
 # ---- keyword classification of pages (N1, N2) -------------------------------
-from platewise.operators import keywords  # noqa: E402
+from platewise.operators import automaton, keywords  # noqa: E402
 from platewise.sources.testdata import pages  # noqa: E402
 
 # Test dictionary of word pieces that occur in the test pages (FIXTURES.md
@@ -322,6 +363,23 @@ def _page_keywords(spark, sf_dir):
     return keywords.page_keywords(pages(spark, sf_dir))
 
 
+def word_dictionary(spark, sf_dir):
+    """All words of five and more letters of the documents as keywords, in
+    ten categories by their first letter."""
+    words = documents(spark, sf_dir).select(
+        F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("keyword")
+    ).distinct()
+    position = (F.ascii("keyword") % 10).cast("int")
+    return words.select(
+        position.alias("position"), F.concat(F.lit("group_"), position).alias("category"), "keyword"
+    )
+
+
+@register("page_keywords_words")
+def _page_keywords_words(spark, sf_dir):
+    return automaton.page_keywords_table(pages(spark, sf_dir), word_dictionary(spark, sf_dir))
+
+
 @register("page_keywords_pieces")
 def _page_keywords_pieces(spark, sf_dir):
     return keywords.page_keywords(pages(spark, sf_dir), WORD_PIECES)
@@ -489,6 +547,11 @@ def _rating_model_metrics(spark, sf_dir):
     return _model("rating", spark, sf_dir).metrics
 
 
+@register("model_insights", rows_only=True)
+def _model_insights(spark, sf_dir):
+    return models.rating_insights(_model("rating", spark, sf_dir))
+
+
 @register("cuisine_per_class", rows_only=True)
 def _cuisine_per_class(spark, sf_dir):
     return _model("cuisine", spark, sf_dir).per_class
