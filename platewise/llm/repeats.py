@@ -482,12 +482,12 @@ def _buckets(docs: DataFrame, text_col: str) -> int:
 def covered_spans(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
     """``(id, mark, start, end)``: byte spans to remove from the rows of
     ``texts(id, mark, raw)``, not yet merged."""
-    partitions = buckets
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
         "bucket long, rows binary, ids binary, marks binary, counts binary",
     )
-    dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    # as many tasks as the session sets: each takes its buckets one by one
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     found = _unpacked(checkpointed(dealt.mapInArrow(lambda b: classes(b, hot_class), CLASS_ROWS)))
 
     wanted = found.where("kind = 2").groupBy("id", "mark").agg(
