@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from platewise.llm import decontaminate, quality, repeats, sentencepiece_codec, simhash
-from platewise.llm.common import table
+from platewise.llm.common import checkpointed, table
 from platewise.llm.registry import PIECES, tokenizer_file
 
 
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:  # each stage runs once, on what the one before it wrote
+            docs = checkpointed(docs)
     return docs
