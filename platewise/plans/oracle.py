@@ -731,8 +731,15 @@ def dictionary_oracle(rows: str) -> str:
 
 
 ORACLES["page_keywords_words"] = dictionary_oracle("""
-    SELECT DISTINCT 'group_' || (ascii(keyword) % 10) AS category, ascii(keyword) % 10 AS ord, keyword
-    FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS keyword FROM documents)""")
+    SELECT 'group_' || (ascii(keyword) % 10) AS category, ascii(keyword) % 10 AS ord, keyword
+    FROM (
+        SELECT *, count(*) OVER (ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM (
+            SELECT keyword, count(*) AS n
+            FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS keyword FROM documents)
+            GROUP BY keyword
+        )
+    ) WHERE upto <= 50000""")
 
 
 def _keyword_oracles():

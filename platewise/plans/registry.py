@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -363,14 +363,23 @@ def _page_keywords(spark, sf_dir):
     return keywords.page_keywords(pages(spark, sf_dir))
 
 
+DICTIONARY_WORDS = 50_000
+
+
 def word_dictionary(spark, sf_dir):
-    """All words of five and more letters of the documents as keywords, in
-    ten categories by their first letter."""
+    """The most frequent words of five and more letters of the documents, in
+    ten categories by their first letter: all that occur c times and more, c being the least
+    for which they are no more than ``DICTIONARY_WORDS``."""
     words = documents(spark, sf_dir).select(
         F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("keyword")
-    ).distinct()
+    )
+    counts = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    # one row per count
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto)
+    least = sizes.where(F.col("upto") <= DICTIONARY_WORDS).agg(F.min("n")).scalar()
     position = (F.ascii("keyword") % 10).cast("int")
-    return words.select(
+    return counts.where(F.col("n") >= least).select(
         position.alias("position"), F.concat(F.lit("group_"), position).alias("category"), "keyword"
     )
 

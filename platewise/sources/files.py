@@ -16,19 +16,27 @@ from platewise.operators.cleaning import rename_columns
 from platewise.schema import MISSING_MARKERS, SOURCE_COLUMNS, VENUE_SCHEMA
 
 
-def read_venues(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_venues(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool | None = None
+) -> DataFrame:
     """A1/A2: venues from a CSV with header (or parquet).
 
     Source columns are renamed to canonical names; absent canonical
     columns are added as nulls; the pandas default missing markers ('NA',
     'N/A', 'null', 'NaN', 'None', ...) become null.  Quotes inside quoted
-    fields are doubled, and a quoted field may hold line breaks.  Without a
+    fields are doubled.  A large CSV is split among tasks, unless ``multi_line``:
+    then a quoted field may hold line breaks, and each file is one task.  By
+    default that is so only if some line has an odd number of quotes (a pass over
+    the lines that stops at the first of them).  Without a
     'Restaurant ID' column, ``venue_id`` (partition index and row number) holds
     for one run only: save the table if ids have to stay.
     """
     if fmt == "csv":
+        if multi_line is None:
+            quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+            multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
         raw = spark.read.csv(
-            path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+            path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line
         )
     else:
         raw = spark.read.format(fmt).load(path)

@@ -135,3 +135,24 @@ def test_tuning_tries_are_different_and_the_best_is_trained(venues_small):
     assert len({(r.num_trees, r.max_depth) for r in rows}) == 4
     assert [r.r2 for r in rows] == sorted((r.r2 for r in rows), reverse=True)
     assert best.forest.getNumTrees == rows[0].num_trees
+
+
+def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    lines = [f'Place {i},"Thai, Bar",{i % 90}' for i in range(60_000)]
+    path.write_text("\n".join(["Restaurant Name,Cuisines,Votes", *lines]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        plain = read_venues(spark, str(path))
+        assert plain.rdd.getNumPartitions() > 2 and plain.count() == len(lines)
+        assert plain.where("cuisines = 'Thai, Bar' AND votes = 89").count() == len(lines) // 90
+        assert read_venues(spark, str(path), multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('Restaurant Name,Cuisines,Votes\n"A\nB",Thai,3\n')
+    rows = read_venues(spark, str(path), multi_line=True).collect()
+    assert [(r.venue_name, r.cuisines, r.votes) for r in rows] == [("A\nB", "Thai", 3)]
