@@ -166,6 +166,16 @@ def _rating_forest(num_trees: int, max_depth: int, seed: int) -> RandomForestReg
     )
 
 
+def _rating_pipeline(
+    num_trees: int, max_depth: int, seed: int, digits: dict | None = None
+) -> Pipeline:
+    """Assembler and forest, for rows of plain columns (codes without
+    ``digits`` are one feature)."""
+    return Pipeline(
+        stages=[_rating_assembler(digits or {}), _rating_forest(num_trees, max_depth, seed)]
+    )
+
+
 @dataclass
 class RatingRows:
     """What every fit of the rating model reads: one kept table of vectors."""
