@@ -205,9 +205,9 @@ _CELLS = "\nUNION ALL ".join(
        CAST(floor(latitude / {16.0 / 2**level}) AS BIGINT) AS cell_lat,
        CAST(floor(longitude / {16.0 / 2**level}) AS BIGINT) AS cell_lng,
        count(*) AS "count",
-       round(avg(rating), 6) AS avg_rating,
-       round(avg(latitude), 6) AS center_lat,
-       round(avg(longitude), 6) AS center_lng,
+       round(round(avg(rating), 9), 6) AS avg_rating,
+       round(round(avg(latitude), 9), 6) AS center_lat,
+       round(round(avg(longitude), 9), 6) AS center_lng,
        min(latitude) AS south, max(latitude) AS north,
        min(longitude) AS west, max(longitude) AS east
 FROM loc WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 2, 3"""

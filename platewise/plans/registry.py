@@ -83,7 +83,10 @@ def _grid_clusters(spark, sf_dir):
 
 @register("map_pyramid")
 def _map_pyramid(spark, sf_dir):
-    return location.map_pyramid(venues(spark, sf_dir), levels=7, widest=16.0)
+    # nine places first: sums of doubles differ in the last bits by row order, and a
+    # mean may lie right between two values of six places
+    pyramid = location.map_pyramid(venues(spark, sf_dir), levels=7, widest=16.0)
+    return rounded(pyramid, 9)
 
 
 @register("city_share")
