@@ -153,7 +153,9 @@ def _slices(batch):
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts and the number of the text that each is in."""
-    lowered = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    # a copy of its own: ``ascii_lower`` shifts a slice that was cast
+    whole = pc.take(pc.fill_null(texts, ""), pa.array(np.arange(len(texts))))
+    lowered = pc.ascii_lower(whole.cast(pa.large_string()))
     parts = pc.split_pattern_regex(lowered, BETWEEN)
     found, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
     real = pc.not_equal(found, "")
