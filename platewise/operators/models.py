@@ -58,8 +58,11 @@ CUISINE_FEATURES = [
 # Candidate splits of a feature are its 256-quantiles.  Label codes are digits to the
 # base 256, so any threshold over them is reached by a few splits.
 TREE_SETTINGS = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxBins=256)
-# Fits side by side share memory and cores: smaller passes, and, as every task sends
-# the statistics of all nodes of a pass, tasks of at least so many rows.
+# Every task of a pass makes and sends the statistics of all its nodes, so a fit has
+# so many tasks for each core, whatever number of partitions its rows come in.
+TASKS_PER_CORE = 2
+# Fits side by side share memory and cores: smaller passes, and tasks of at least so
+# many rows.
 SHARED_MEMORY_MB = 256
 ROWS_PER_TASK = 50_000
 # Spark's limit; the reference grows classification trees without one.
@@ -88,6 +91,11 @@ def _training_rows(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _in_few_tasks(rows: DataFrame) -> DataFrame:
+    """The rows in ``TASKS_PER_CORE`` partitions for each core at most."""
+    return rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
     """Absent request columns take the given default."""
     return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
@@ -194,7 +202,7 @@ class RatingRows:
 
     def fit(self, num_trees: int, max_depth: int, seed: int) -> "RatingModel":
         """L1, with train and test metrics (M1) of the fitted model."""
-        forest = _rating_forest(num_trees, max_depth, seed).fit(self.train)
+        forest = _rating_forest(num_trees, max_depth, seed).fit(_in_few_tasks(self.train))
         scored = forest.transform(self.rows).select("split", "label", "prediction")
         metrics = _small(regression_metrics(scored, group="split"))
         pipeline = PipelineModel([_rating_assembler(self.digits), forest])
@@ -405,7 +413,7 @@ def train_cuisine_model(
                 maxDepth=max_depth, seed=seed, **TREE_SETTINGS,
             ),
         ]
-    ).fit(rows.where(F.col("split") == "train"))
+    ).fit(_in_few_tasks(rows.where(F.col("split") == "train")))
     labels = class_codes.select(F.col("code").cast("double").alias("prediction"),
                                 F.col("value").alias("predicted"))
     scored = pipeline.transform(rows).join(F.broadcast(labels), "prediction")
