@@ -7,14 +7,15 @@ the first is preferred is the logistic function of the difference of their
 scores, so the weights are a logistic regression without intercept on the
 differences of their signals.  Every second pair is turned round, with label 0.
 
-The cut is a quantile of the scores of the labelled sample: the share of label
-0 in it.  A document's ``score`` is the logistic function of its distance from the
+The cut is a quantile of the scores of the labelled rows: the share of label
+0 among them.  A document's ``score`` is the logistic function of its distance from the
 cut, moved so that the cut is ``at``.
 
-The fit uses a bounded sample: about ``sample_rows`` labelled rows, those whose
-hash is below the fraction of rows wanted (all of them if there are fewer), each paired
-with ``partners`` documents of the other label.  Scoring is a projection
-of all documents: nothing is shuffled.
+The signals of all documents are measured once and kept.  The fit uses every
+labelled row, each paired with ``partners`` documents of the other label; pairs and
+cut come from places in a sort by range, so no task sees more than its range.  Scoring
+is a projection of the kept signals: no text is shuffled, but for those of ids that
+several documents have.
 
 Defined results: null and empty texts have all signals 0 and a score like
 any other; only rows with label 0 or 1 are learnt from; an id labelled both ways is not learnt
@@ -25,15 +26,16 @@ result; a text of any length is read whole; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import checkpointed, space_words
+from platewise.llm.common import BROADCAST_BYTES, checkpointed, space_words
 
-SAMPLE_ROWS = 20000
 PARTNERS = 3
 # Ridge penalty of the regression: the labels can be separable.
 PENALTY = 1e-3
@@ -86,39 +88,103 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
-def training_rows(
-    docs: DataFrame, labels: DataFrame, sample_rows: int, text_col: str, id_col: str, label_col: str
-) -> DataFrame:
-    """``(id, text, good)`` of the sample: labelled rows that are not held
-    out, hash below the fraction wanted."""
+def measured(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(id, x)``: the signals of every document, kept."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return checkpointed(docs.select(F.col(f"`{id_col}`").alias("id"), signals(text).alias("x")))
+
+
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, good)`` of all ids that are learnt from."""
     known = labels.where(F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("id"))
     known = known.agg(F.min(f"`{label_col}`").alias("good"), F.max(f"`{label_col}`").alias("most"))
     known = known.where((F.col("good") == F.col("most")) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    share = min(1.0, sample_rows / max(known.count(), 1))
-    h = F.xxhash64(F.col("id").cast("string"))
-    known = known.where(F.shiftrightunsigned(h, 11) < int(share * (1 << 53))).select("id", "good")
+    return known.select("id", "good")
+
+
+def _texts(docs: DataFrame, known: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """``(id, good, text)``; rows that repeat an id are learnt from once."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # the sample is bounded; rows that repeat an id are learnt from once
-    return rows.join(F.broadcast(known), "id").groupBy("id", "good").agg(F.min("text").alias("text"))
+    if known.count() * 64 <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    return rows.join(known, "id").groupBy("id", "good").agg(F.min("text").alias("text"))
+
+
+def training_rows(
+    docs: DataFrame, labels: DataFrame, sample_rows: int | None, text_col: str, id_col: str, label_col: str
+) -> DataFrame:
+    """``(id, good, text)`` of the labelled rows that are not held out; with
+    ``sample_rows`` about so many, those whose hash is below the fraction wanted."""
+    known = labelled(labels, id_col, label_col)
+    if sample_rows is not None:
+        share = min(1.0, sample_rows / max(known.count(), 1))
+        h = F.xxhash64(F.col("id").cast("string"))
+        known = known.where(F.shiftrightunsigned(h, 11) < int(share * (1 << 53)))
+    return _texts(docs, known, text_col, id_col)
+
+
+def training_signals(
+    docs: DataFrame, found: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str
+) -> DataFrame:
+    """``(id, good, x)`` of all labelled rows that are not held out, from
+    ``found``, the measured documents."""
+    rows = found.join(labelled(labels, id_col, label_col), "id").groupBy("id", "good")
+    rows = checkpointed(rows.agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x")))
+    once = rows.where("n = 1").select("id", "good", "x")
+    again = rows.where("n > 1").select("id", "good")
+    if again.isEmpty():
+        return once
+    texts = _texts(docs, again, text_col, id_col)
+    return once.unionByName(texts.select("id", "good", signals(F.col("text")).alias("x")))
+
+
+def placed(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Adds ``place``, 0 and up by ``order`` within the group: rows are sorted
+    by range and numbered from the sizes of the sorted partitions."""
+    ordered = checkpointed(
+        rows.orderBy(group, *order).withColumns(
+            {"part": F.spark_partition_id(), "mark": F.monotonically_increasing_id()}
+        )
+    )
+    sizes = ordered.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("first"))
+    # a row per partition and group
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    offsets = sizes.select("part", group, offset.alias("offset"))
+    return ordered.join(F.broadcast(offsets), ["part", group]).select(
+        *rows.columns, (F.col("mark") + F.col("offset")).alias("place")
+    )
+
+
+def quantile(rows: DataFrame, value: Column, share: float) -> float:
+    """The exact percentile over ``rows(id, ...)``, between the two values
+    next to it; equal values are spread by a hash of the id."""
+    scored = rows.select(F.lit(0).alias("group"), value.alias("value"), F.xxhash64("id").alias("h"))
+    scored = placed(scored, "group", F.col("value"), F.col("h"))
+    at = share * (scored.count() - 1)
+    low, high = math.floor(at), math.ceil(at)
+    found = {r.place: r.value for r in scored.where(F.col("place").isin(low, high)).collect()}
+    if found[low] == found[high]:
+        return found[low]
+    return (high - at) * found[low] + (at - low) * found[high]
 
 
 def preference_pairs(rows: DataFrame, partners: int) -> DataFrame:
     """``(features, label)``: differences of the signals of documents of both
-    labels.  ``rows(id, good, x)`` is the bounded sample; each document meets
+    labels.  ``rows(id, good, x)`` are the labelled documents; each meets
     ``partners`` of the other label, by their places in hash order."""
-    order = Window.partitionBy("good").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(7)), "id")
-    placed = rows.withColumn("place", F.row_number().over(order) - 1)
-    sizes = {r.good: r.n for r in placed.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbered = placed(rows, "good", F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.col("id"))
+    sizes = {r.good: r.n for r in numbered.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
     sides = []
     for mine, other in ((1, 0), (0, 1)):
-        asked = placed.where(F.col("good") == mine).select(
+        asked = numbered.where(F.col("good") == mine).select(
             "x", F.explode(F.sequence(F.lit(0), F.lit(partners - 1))).alias("k"), "place"
         )
         nth = F.col("place") * partners + F.col("k")
         asked = asked.select("x", (nth % sizes[other]).alias("at"), (nth % 2 == 0).alias("turned"))
-        met = placed.where(F.col("good") == other).select(F.col("x").alias("y"), F.col("place").alias("at"))
+        met = numbered.where(F.col("good") == other).select(F.col("x").alias("y"), F.col("place").alias("at"))
         better, worse = ("x", "y") if mine else ("y", "x")
         sides.append(asked.join(met, "at").select(F.col(better).alias("p"), F.col(worse).alias("q"), "turned"))
     pairs = sides[0].unionByName(sides[1])
@@ -136,12 +202,13 @@ def raw_score(x: Column, weights: list[float]) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, partners: int = PARTNERS,
-    text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality",
+    docs: DataFrame, labels: DataFrame, partners: int = PARTNERS,
+    text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", found: DataFrame | None = None,
 ) -> tuple[list[float], float] | None:
-    """``(weights, cut)``; None without documents of both labels."""
-    rows = training_rows(docs, labels, sample_rows, text_col, id_col, label_col)
-    rows = checkpointed(rows.select("id", "good", signals(F.col("text")).alias("x")))
+    """``(weights, cut)``; None without documents of both labels.  ``found``
+    are the documents' signals, if they are ``measured`` already."""
+    found = measured(docs, text_col, id_col) if found is None else found
+    rows = training_signals(docs, found, labels, text_col, id_col, label_col)
     pairs = preference_pairs(rows, partners)
     if pairs is None:
         return None
@@ -152,21 +219,23 @@ def fit(
     pairs.unpersist()
     weights = [float(w) for w in model.coefficients]
     share = rows.agg(F.avg(1.0 - F.col("good"))).first()[0]
-    cut = rows.agg(F.percentile(raw_score(F.col("x"), weights), F.lit(float(share)))).first()[0]
-    return weights, float(cut)
+    return weights, float(quantile(rows, raw_score(F.col("x"), weights), float(share)))
 
 
 def score_documents(
     docs: DataFrame, model: tuple[list[float], float] | None, at: float = 0.7,
-    text_col: str = "text", id_col: str = "doc_id",
+    text_col: str = "text", id_col: str = "doc_id", found: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, held_out, score, predicted)`` of every document."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """``(id, held_out, score, predicted)`` of every document; ``found`` as
+    in ``fit``."""
     if model is None:
-        score = F.lit(0.5)
+        rows, score = docs.select(F.col(f"`{id_col}`").alias("id")), F.lit(0.5)
     else:
         weights, cut = model
-        rows = rows.select("id", signals(F.col("text")).alias("x"))
+        rows = found
+        if rows is None:
+            text = F.col(f"`{text_col}`").cast("string")
+            rows = docs.select(F.col(f"`{id_col}`").alias("id"), signals(text).alias("x"))
         above = raw_score(F.col("x"), weights) - cut
         # exactly ``at`` on the cut
         score = 1 / (1 + F.exp(-above) * ((1 - at) / at))
