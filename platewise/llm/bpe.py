@@ -100,10 +100,10 @@ class MergeTable:
         if known is None:
             if len(self._pairs) > 400_000:  # a cache only
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._border_stays(left, right)
+            known = self._pairs[left, right] = self.border_stays(left, right)
         return known
 
-    def _border_stays(self, left: str, right: str) -> bool:
+    def border_stays(self, left: str, right: str) -> bool:
         limit, equal = float("inf"), False
         while True:
             rank = self.rank(left, right)

@@ -4,6 +4,8 @@ Texts are cut into marked words (a space is the mark U+2581, one is put before
 every text).  The distinct words of a block are sorted, which lays them out as
 a depth-first walk of their trie: neighbours share a prefix, and the forward
 scores of that prefix are kept on a stack, so every trie node is scored once.
+The pieces that end at a node come from an automaton over the suffixes that begin
+a piece, whose states and compatible pairs are worked out when first met.
 
 The forward score of a prefix is its best segmentation, held as its last
 piece.  The public models here are BPE models, whose segmentation is not the
@@ -23,6 +25,7 @@ are encoded one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -40,6 +43,41 @@ WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 BLOCK_CHARS = 2_000_000
 CACHED_WORDS = 500_000
+CACHED_PAIRS = 400_000
+
+
+class _Follows(dict):
+    """Whether a piece may stand behind another one; filled as asked."""
+
+    def __init__(self, coder: "Codec", piece: str):
+        self.coder, self.piece = coder, piece
+
+    def __missing__(self, left: str) -> bool:
+        self.coder.known_pairs += 1
+        known = self[left] = self.coder.merges.border_stays(left, self.piece)
+        return known
+
+
+class _Suffix(dict):
+    """What a piece can end with: the longest suffix of the characters read that
+    begins a piece, with the solid pieces that end there (the longest first)
+    and the states behind the next character, filled as asked."""
+
+    def __init__(self, coder: "Codec", text: str):
+        self.coder, self.text = coder, text
+        ends = (text[start:] for start in range(len(text)))
+        self.pieces = [
+            (p, len(p), coder._pack([p]), coder.follows(p))
+            for p in ends
+            if p in coder.ids and coder.merges.solid(p)
+        ]
+
+    def __missing__(self, character: str) -> "_Suffix":
+        text = self.text + character
+        while not self.coder.begins_piece(text):
+            text = text[1:]
+        state = self[character] = self.coder.state(text)
+        return state
 
 
 class Codec:
@@ -62,9 +100,10 @@ class Codec:
                 self.ids[name] = i
                 scores[name] = -model.get_score(i)
                 self.texts[i] = name.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.ids))
+        self.sorted_pieces = sorted(self.ids)
         self.merges = MergeTable(lambda left, right: scores.get(left + right))
         self.words: dict[str, bytes] = {}
+        self.forget_pairs()
 
     def _pack(self, pieces) -> bytes:
         """Ids of the pieces as packed int32; unknown ones by their bytes."""
@@ -81,38 +120,59 @@ class Codec:
 
     def learn(self, words) -> None:
         """Encode new words: a depth-first walk over their sorted trie."""
-        ids, longest, fits, solid = self.ids, self.longest, self.merges.fits, self.merges.solid
-        last: list[str | None] = [None]  # last piece of each prefix on the path
+        pack = self._pack
+        # of each prefix on the path: its state, last piece (None: nothing, or a
+        # character outside the vocabulary) and packed ids
+        states, last, packed = [self.root], [None], [b""]
         before = ""
         for word in sorted(words):
             if word[:2] == MARK * 2:
-                self.words[word] = self._pack(self.merges.merge_long(word))
+                self.words[word] = pack(self.merges.merge_long(word))
                 continue
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del states[shared + 1 :], last[shared + 1 :], packed[shared + 1 :]
+            state = states[shared]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece in ids:
-                        left = last[start]
-                        if solid(piece) and (
-                            left is None or left not in ids or fits(left, piece)
-                        ):
-                            break
+                state = state[word[end - 1]]
+                for piece, size, ids, follows in state.pieces:
+                    left = last[end - size]
+                    if left is None or follows[left]:
+                        last.append(piece)
+                        packed.append(packed[end - size] + ids)
+                        break
                 else:
-                    piece = word[end - 1]  # outside the vocabulary
-                last.append(piece)
+                    piece = word[end - 1]
+                    last.append(piece if piece in self.ids else None)
+                    packed.append(packed[end - 1] + pack([piece]))
+                states.append(state)
             before = word
-            pieces, end = [], len(word)
-            while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            pieces.reverse()
-            self.words[word] = self._pack(pieces)
+            self.words[word] = packed[-1]
+        if self.known_pairs > CACHED_PAIRS:
+            self.forget_pairs()
+
+    def forget_pairs(self) -> None:
+        self.known_pairs = 0
+        self._states: dict[str, _Suffix] = {}
+        self._follows: dict[str, _Follows] = {}
+        self.root = self.state("")
+
+    def begins_piece(self, text: str) -> bool:
+        at = bisect.bisect_left(self.sorted_pieces, text)
+        return at < len(self.sorted_pieces) and self.sorted_pieces[at].startswith(text)
+
+    def state(self, text: str) -> _Suffix:
+        if text not in self._states:
+            self._states[text] = _Suffix(self, text)
+        return self._states[text]
+
+    def follows(self, piece: str) -> _Follows:
+        if piece not in self._follows:
+            self._follows[piece] = _Follows(self, piece)
+        return self._follows[piece]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text."""
