@@ -2,8 +2,8 @@
 
 A regular expression that matches a text needs some literal part of it there.
 ``needed`` reads from the parsed pattern a set of literals, one of which is in
-every text that matches.  The index lists the 1-, 2- and 3-grams of every
-distinct text; a literal looks up its rarest gram only, and a literal with a
+every text that matches.  The index lists those 1-, 2- and 3-grams of every
+distinct text that the literals have; a literal looks up its rarest gram only, and a literal with a
 gram that no text has is out.  The texts found are candidates, which the
 regular expression then decides; the join is on the gram, so patterns and texts
 are tables of any size and never meet in one array.
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 GRAM = 3
 # Literals followed side by side while a pattern is read.
 ALTERNATIVES = 16
+# Asked grams are broadcast up to so many, counted.
+SENT_GRAMS = 200_000
 # Letters that Python takes as equal to ASCII letters when case is ignored.
 FOLDED = ("ſıİK", "siik")
 
@@ -110,19 +112,23 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, *FOLDED))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The ``size``-grams of a text."""
-    last = F.length(text) - size + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+def _begins(grams: Column, size: int) -> Column:
+    return F.transform(grams, lambda gram: F.substring(gram, 1, size))
+
+
+def _grams(text: Column) -> Column:
+    """The grams of a text: at every place the next ``GRAM`` characters (fewer
+    at the end) and what they begin with."""
+    whole = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))."), F.lit(1))
+    whole = F.array_distinct(whole)
+    return F.array_distinct(F.concat(whole, *[_begins(whole, n) for n in range(1, GRAM)]))
 
 
 def text_grams(texts: DataFrame, text: str) -> DataFrame:
     """``(text, gram)``: the distinct grams of every text; the empty gram is
     in all of them."""
-    low = folded(F.col(text))
-    grams = F.concat(F.array(F.lit("")), *[_grams(low, n) for n in range(1, GRAM + 1)])
-    return texts.select(text, F.explode(F.array_distinct(grams)).alias("gram"))
+    grams = F.concat(F.array(F.lit("")), _grams(folded(F.col(text))))
+    return texts.select(text, F.explode(grams).alias("gram"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -151,14 +157,20 @@ def _matches(patterns, texts):
 def candidates(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
     """``(pattern, text)`` pairs that the index cannot rule out, of distinct
     non-null patterns and texts."""
-    grams = text_grams(texts, text)
-    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     asked = patterns.withColumn("literals", _needed(F.col(pattern))).where("literals IS NOT NULL")
     whole = F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))
     asked = asked.select(pattern, F.explode(whole).alias("literal"))
     low = F.col("literal")
-    own = F.when(F.length(low) > GRAM, F.array_distinct(_grams(low, GRAM))).otherwise(F.array(low))
+    longest = F.filter(_grams(low), lambda g: F.length(g) == GRAM)
+    own = F.when(F.length(low) > GRAM, longest).otherwise(F.array(low))
     asked = asked.select(pattern, "literal", F.explode(own).alias("gram"))
+    # the index has the grams that are asked for; they are sent to the texts if
+    # they are few, so that the others are dropped where they are made
+    wanted = asked.select("gram").distinct()
+    if wanted.count() <= SENT_GRAMS:
+        wanted = F.broadcast(wanted)
+    grams = text_grams(texts, text).join(wanted, "gram", "left_semi")
+    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # the rarest gram of each literal, if all of them occur
     rarest = (
         asked.join(sizes, "gram", "left")
