@@ -39,6 +39,7 @@ same; an empty table gives an empty result; other columns are not touched.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,9 @@ HOT_CLASS = 10_000
 # Bytes of strings per suffix array; a class is never cut.
 BATCH_BYTES = 1 << 16
 # Bytes of text handled at once in a task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 # Segments that a task gathers before it deals them out.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 
 NO_ID = (1 << 63) - 1
 _PLACE_BITS = np.uint64(23)
@@ -137,7 +138,8 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers, inv
     np.cumsum(_BYTES[data] * powers[:n], dtype=np.uint64, out=total[1:])
     string = _mixed((total[b + LENGTH] - total[a]) * inverse[a])
     text = np.searchsorted(starts, a, "right") - 1
-    return h[chosen[a]], string, text, a - starts[text], b - a, chosen[a] - a
+    # The smallest of many hashes is small: mixed again, anchors are spread over all buckets.
+    return _mixed(h[chosen[a]]), string, text, a - starts[text], b - a, chosen[a] - a
 
 
 def deal(batches, buckets: int):
@@ -479,32 +481,47 @@ def _buckets(docs: DataFrame, text_col: str) -> int:
     return 1 << (max(least, size // BUCKET_BYTES) - 1).bit_length()
 
 
-def covered_spans(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
+def covered_spans(
+    texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS, rows: DataFrame | None = None, text_col: str = ""
+) -> DataFrame:
     """``(id, mark, start, end)``: byte spans to remove from the rows of
-    ``texts(id, mark, raw)``, not yet merged."""
+    ``texts(id, mark, raw)``, not yet merged.  With ``rows(row, id, mark)`` the strings are cut
+    from ``text_col`` of ``row``: a later join of the same rows by the same keys shares the exchange."""
     dealt = texts.mapInArrow(
         lambda batches: deal(batches, buckets),
         "bucket long, rows binary, ids binary, marks binary, counts binary",
     )
-    # as many tasks as the session sets: each takes its buckets one by one
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    found = _unpacked(checkpointed(dealt.mapInArrow(lambda b: classes(b, hot_class), CLASS_ROWS)))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from classes(batches, hot_class)
+
+    # as many tasks as the session sets: each takes its buckets one by one, and
+    # neither the JVM nor the worker holds more than one as Arrow data
+    found = _unpacked(checkpointed(dealt.groupBy("bucket").applyInArrow(decide, CLASS_ROWS)))
 
     wanted = found.where("kind = 2").groupBy("id", "mark").agg(
         F.collect_list(
             F.struct("string", "class", "hot", "several", "at", "more", "anchor")
         ).alias("asked")
     )
-    cut = F.transform(
-        "asked",
-        lambda a: F.struct(
-            a["string"].alias("string"), a["class"].alias("class"), a["hot"].alias("hot"),
-            a["several"].alias("several"), a["anchor"].alias("anchor"),
-            F.substring(F.col("raw"), a["at"] + 1, a["more"] + LENGTH).alias("body"),
-        ),
-    )
+
+    def cut(raw):
+        return F.transform(
+            "asked",
+            lambda a: F.struct(
+                a["string"].alias("string"), a["class"].alias("class"), a["hot"].alias("hot"),
+                a["several"].alias("several"), a["anchor"].alias("anchor"),
+                F.substring(raw, a["at"] + 1, a["more"] + LENGTH).alias("body"),
+            ),
+        )
+
     # rows that repeat a text ask twice: the same strings with the same owner
-    strings = texts.join(wanted, ["id", "mark"]).select("id", F.inline(cut))
+    if rows is None:
+        strings = texts.join(wanted, ["id", "mark"]).select("id", F.inline(cut(F.col("raw"))))
+    else:
+        # a lambda over the whole row, as a plain field would be cut out before the exchange
+        body = F.transform(F.array("row"), lambda r: cut(r[text_col].cast("binary")))[0]
+        strings = rows.join(wanted, ["id", "mark"]).select("id", F.inline(body))
 
     plain = strings.where("NOT hot").select("class", "string", "id", "several", "body", "anchor")
     plain = plain.repartition("class").sortWithinPartitions("class")
@@ -556,8 +573,10 @@ def _kept(raw: bytes, spans) -> bytes:
     return b"".join(parts)
 
 
-def _spans_by_text(texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS) -> DataFrame:
-    return covered_spans(texts, buckets, hot_class).groupBy("id", "mark").agg(
+def _spans_by_text(
+    texts: DataFrame, buckets: int, hot_class: int = HOT_CLASS, rows: DataFrame | None = None, text_col: str = ""
+) -> DataFrame:
+    return covered_spans(texts, buckets, hot_class, rows, text_col).groupBy("id", "mark").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
 
@@ -615,13 +634,13 @@ def without_repeats(
     """``docs`` with the covered bytes cut out of the text, all other columns
     as they are but for ``length_col``, if there, which follows the new text.
     A character of which only some bytes remain is dropped."""
-    spans = _spans_by_text(_texts(docs, text_col, id_col), _buckets(docs, text_col))
-    spans = spans.select(F.struct("id", "mark").alias("repeat_key"), F.col("spans").alias("repeat_spans"))
-    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    key = F.struct(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(raw).alias("mark"),
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID))
+    rows = packed(docs, key.alias("id"), F.xxhash64(raw).alias("mark"))
+    spans = _spans_by_text(
+        _texts(docs, text_col, id_col), _buckets(docs, text_col), rows=rows, text_col=text_col
     )
+    spans = spans.withColumnRenamed("spans", "repeat_spans")
     fields = docs.schema.fields
 
     @F.pandas_udf("string")
@@ -630,20 +649,23 @@ def without_repeats(
 
         kept = []
         for t, spans in zip(text, found):
+            if t is None:  # nothing to cut
+                kept.append(None)
+                continue
             cut = _merged((s["start"], s["end"]) for s in spans)
             kept.append(_kept(t.encode(), cut).decode("utf-8", "ignore"))
         return pd.Series(kept, dtype=object)
 
-    rows = packed(docs, key.alias("doc_key"))
-    rows = rows.join(spans, F.col("doc_key") == F.col("repeat_key"), "left")
-    same = rows.where("repeat_spans IS NULL").select("row.*")
-    hit = rows.where("repeat_spans IS NOT NULL").select(
-        "row", edited(F.col(f"row.`{text_col}`"), F.col("repeat_spans")).alias("text")
+    # one branch for all rows, or their texts would be dealt once more
+    hit = F.col("repeat_spans").isNotNull()
+    rows = rows.join(spans, ["id", "mark"], "left").select(
+        "row", hit.alias("hit"), edited(F.when(hit, F.col(f"row.`{text_col}`")), F.col("repeat_spans")).alias("text")
     )
     columns = [F.col(f"row.`{f.name}`") for f in fields]
     for i, f in enumerate(fields):
         if f.name == text_col:
-            columns[i] = F.col("text").alias(f.name)
+            columns[i] = F.when(F.col("hit"), F.col("text")).otherwise(columns[i]).alias(f.name)
         elif f.name == length_col:
-            columns[i] = F.length("text").cast(f.dataType).alias(f.name)
-    return same.unionByName(hit.select(*columns))
+            length = F.length("text").cast(f.dataType)
+            columns[i] = F.when(F.col("hit"), length).otherwise(columns[i]).alias(f.name)
+    return rows.select(*columns)
